@@ -29,10 +29,10 @@ def rank_to_risk(rank: Column) -> Column:
     )
 
 
-def rule(condition: Column, severity: object, category: str, code: str, detail: object = None) -> Column:
-    """One finding struct if the condition holds, else null."""
+def rule(condition: Column | str, severity: object, category: str, code: str, detail: object = None) -> Column:
+    """One finding struct if the condition holds, else null. A text condition is an SQL expression."""
     return F.when(
-        condition,
+        F.expr(condition) if isinstance(condition, str) else condition,
         F.struct(
             lit_or_col(severity).cast("string").alias("severity"),
             F.lit(category).alias("category"),

@@ -1,6 +1,9 @@
 """All registered queries. Importing a plan module registers its queries."""
 
+from vestigia.plans import compare_plans  # noqa: F401
+from vestigia.plans import matching_plans  # noqa: F401
 from vestigia.plans import network_plans  # noqa: F401
+from vestigia.plans import predicate_plans  # noqa: F401
 from vestigia.plans import rollup_plans  # noqa: F401
 from vestigia.plans import source_plans  # noqa: F401
 from vestigia.plans.registry import ORACLES, QUERIES  # noqa: F401
