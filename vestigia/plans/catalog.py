@@ -5,5 +5,9 @@ from vestigia.plans import matching_plans  # noqa: F401
 from vestigia.plans import network_plans  # noqa: F401
 from vestigia.plans import predicate_plans  # noqa: F401
 from vestigia.plans import rollup_plans  # noqa: F401
+from vestigia.plans import sequence_plans  # noqa: F401
 from vestigia.plans import source_plans  # noqa: F401
+from vestigia.plans import structure_plans  # noqa: F401
+from vestigia.plans import text_plans  # noqa: F401
+from vestigia.plans import time_plans  # noqa: F401
 from vestigia.plans.registry import ORACLES, QUERIES  # noqa: F401
