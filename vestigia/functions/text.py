@@ -43,7 +43,7 @@ def session_ids(text: Column) -> Column:
 def printable_strings(text: Column) -> Column:
     """Printable runs of at least four characters that look like a path, an address, a name or an office
     product; distinct, in order, the first thirty."""
-    runs = F.transform(extract_all(text, r"[\x20-\x7e]{4,}"), F.trim)
+    runs = F.transform(extract_all(text, r"[\x20-\x7e]{4,}"), lambda s: F.trim(s))
 
     def telling(s: Column) -> Column:
         return (

@@ -2,6 +2,7 @@
 
 from vestigia.plans import compare_plans  # noqa: F401
 from vestigia.plans import matching_plans  # noqa: F401
+from vestigia.plans import measure_plans  # noqa: F401
 from vestigia.plans import network_plans  # noqa: F401
 from vestigia.plans import predicate_plans  # noqa: F401
 from vestigia.plans import rollup_plans  # noqa: F401
