@@ -31,7 +31,7 @@ def main() -> None:
         except Exception as exc:  # noqa: BLE001
             state = f"FAIL {str(exc)[:600]}"
         bad += state.startswith(("DIFF", "FAIL"))
-        if wanted or state != "same" or time.time() - start > 5:
+        if wanted or state != "same" or time.time() - start > 4:
             print(f"{name:28s} {time.time() - start:6.2f}s {state}", flush=True)
     print("bad:", bad)
     spark.stop()

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns, epochs and the region of each UTC offset (minutes).
-DOCUMENT_DATE = r"^(?i)D:(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})(?:([+\-Z])(\d{2})?'?(\d{2})?'?)?"
+DOCUMENT_DATE = r"^[Dd]:\d{14}"
 UUID1_PATTERN = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-1[0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}"
 UUID_EPOCH_TICKS = 122192928000000000
 FILETIME_EPOCH_MICROS = 11644473600000000
@@ -61,32 +61,28 @@ def micros(ts: Column) -> Column:
 
 def parse_document_date(raw: Column) -> Column:
     """Struct of local time, UTC time, offset and label from `D:YYYYMMDDHHmmSS±HH'mm'`; null if invalid.
-    The sign is one of + - Z, and the offset is really applied to the UTC time."""
+    The sign is one of + - Z, and the offset is really applied to the UTC time. One regex decides about the
+    shape; the digits have fixed places."""
     text = F.trim(raw)
 
-    def group(i: int) -> Column:
-        return F.regexp_extract(text, DOCUMENT_DATE, i)
-
-    def number(i: int) -> Column:
-        return F.coalesce(group(i).try_cast("int"), F.lit(0))
-
-    sign = F.when(F.upper(group(7)).isin("", "Z"), "Z").otherwise(group(7))
-    minutes = number(8) * 60 + number(9)
-    offset = F.when(sign == "Z", 0).when(sign == "+", minutes).otherwise(-minutes)
-    label = F.when(sign == "Z", UTC_LABEL).otherwise(
-        F.concat(sign, F.lpad(number(8).cast("string"), 2, "0"), F.lit(":"), F.lpad(number(9).cast("string"), 2, "0"))
-    )
-    local = F.try_make_timestamp_ntz(number(1), number(2), number(3), number(4), number(5), number(6).cast("decimal(8,6)"))
-    valid = text.rlike(DOCUMENT_DATE) & (number(6) <= 59) & (number(1) >= 1) & local.isNotNull()
+    def digits(start: int, length: int) -> Column:
+        return F.substring(text, start, length).try_cast("int")
+
+    second = digits(15, 2)
+    sign = F.substring(text, 17, 1)
+    zone = F.substring(text, 17, 8)
+    shifted = sign.isin("+", "-")
+    hours = F.coalesce(F.regexp_extract(zone, r"^[+-](\d{2})", 1).try_cast("int"), F.lit(0))
+    rest = F.coalesce(F.regexp_extract(zone, r"^[+-](?:\d{2})?+'?(\d{2})", 1).try_cast("int"), F.lit(0))
+    offset = F.when(~shifted, 0).when(sign == "+", hours * 60 + rest).otherwise(-(hours * 60 + rest))
+    label = F.when(shifted, F.format_string("%s%02d:%02d", sign, hours, rest)).otherwise(UTC_LABEL)
+    local = F.try_make_timestamp_ntz(digits(3, 4), digits(7, 2), digits(9, 2), digits(11, 2), digits(13, 2),
+                                     second.cast("decimal(8,6)"))
+    valid = text.rlike(DOCUMENT_DATE) & (second <= 59) & (digits(3, 4) >= 1) & local.isNotNull()
     return F.when(
         valid,
-        F.struct(
-            local.alias("local_ts"),
-            (local - F.make_dt_interval(mins=offset)).alias("utc_ts"),
-            offset.alias("offset_min"),
-            label.alias("label"),
-        ),
-    )
+        F.struct(local.alias("local_ts"), (local - F.make_dt_interval(mins=offset)).alias("utc_ts"),
+                 offset.alias("offset_min"), label.alias("label")))
 
 
 def parse_iso(raw: Column) -> Column:

@@ -20,21 +20,28 @@ PRIVATE_RANGES = [
 ]
 
 
+def _where(test: Column, found: Column) -> Column:
+    """Run the costly pattern only where a cheap necessary test holds."""
+    return F.when(test, found).when(test.isNotNull(), F.array().cast("array<string>"))
+
+
 def urls(text: Column) -> Column:
     """Distinct URLs in order of first appearance, without closing punctuation."""
     found = F.regexp_extract_all(text, F.lit(URL_PATTERN), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, URL_TAIL, "")))
+    trimmed = F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, URL_TAIL, "")))
+    return _where(text.contains("://"), trimmed)
 
 
 def ips(text: Column) -> Column:
     """Distinct dotted quads; a zero-padded octet makes the address invalid."""
     found = F.regexp_extract_all(text, F.lit(IP_PATTERN), F.lit(0))
-    return F.array_distinct(F.filter(found, lambda ip: ~ip.rlike(r"(^|\.)0\d")))
+    valid = F.array_distinct(F.filter(found, lambda ip: ~ip.rlike(r"(^|\.)0\d")))
+    return _where(text.rlike(r"\d\.\d{1,3}\.\d"), valid)
 
 
 def emails(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(EMAIL_PATTERN), F.lit(0))
-    return F.array_distinct(F.transform(found, F.lower))
+    return _where(text.contains("@"), F.array_distinct(F.transform(found, F.lower)))
 
 
 def url_authority(url: Column) -> Column:

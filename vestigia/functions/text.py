@@ -79,8 +79,9 @@ def trailing_text(text: Column, marker: str) -> Column:
 
 
 def count_of(text: Column, part: str) -> Column:
-    """Occurrences of a literal, not overlapping."""
-    return (F.size(F.split(text, f"\\Q{part}\\E", -1)) - 1).cast("long")
+    """Occurrences of a literal, not overlapping. The plain search comes first: most texts have none."""
+    pieces = F.size(F.split(text, f"\\Q{part}\\E", -1)) - 1
+    return F.when(text.contains(part), pieces).when(text.isNotNull(), 0).cast("long")
 
 
 def black_boxes_over_text(text: Column) -> Column:

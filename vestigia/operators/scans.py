@@ -199,9 +199,10 @@ def load_rules(spark: SparkSession, path: str, known: list[Rule] | None = None)
 def pattern_hits(df: DataFrame, keys: list[str], text: str, patterns: list[tuple[str, str]]) -> DataFrame:
     """Matches and first match per pattern over the whole text."""
     t = F.col(text)
-    tests = [F.struct(F.lit(name).alias("pattern"), F.regexp_count(t, F.lit(p)).cast("long").alias("match_count"),
-                      F.substring(F.regexp_extract(t, p, 0), 1, 60).alias("sample")) for p, name in patterns]
-    found = F.filter(F.array(*tests), lambda h: h["match_count"] > 0)
+    tests = [F.when(t.rlike(p), F.struct(
+        F.lit(name).alias("pattern"), F.regexp_count(t, F.lit(p)).cast("long").alias("match_count"),
+        F.substring(F.regexp_extract(t, p, 0), 1, 60).alias("sample"))) for p, name in patterns]
+    found = F.filter(F.array(*tests), lambda h: h.isNotNull())
     return df.select(*keys, F.explode(found).alias("h")).select(*keys, "h.*")
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # Instructions that end an operand list, and thresholds.
 OPERATORS = ["BT", "ET", "Tf", "rg", "RG", "g", "k", "Tr", "Td", "TD", "Tm", "Tj", "'", '"', "TJ"]
+NO_STATE = ["BT", "ET", "RG"]
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 WHITE = 0.92
 MAX_OPERANDS = 20
 PAGE_MARGIN = 50
@@ -49,20 +51,25 @@ def operators_with_operands(pages: DataFrame, keys: list[str], text: str) -> Dat
 
 
 def hidden_text(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Hidden text blocks with their reason, in the order of precedence: invisible, white, tiny, off page."""
-    ops = operators_with_operands(pages, keys, text)
+    """Hidden text blocks with their reason, in the order of precedence: invisible, white, tiny, off page.
+
+    Pages are distributed by key before they are taken apart: the compact text is shuffled once, and the
+    running state then finds all instructions of a page in place."""
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ops = operators_with_operands(pages.repartition(n, *keys), keys, text).filter(~F.col("op").isin(NO_STATE))
     size = F.size("args")
 
     def number(k: int) -> Column:
         """k-th operand from the end."""
-        return F.when(size >= k, F.get(F.col("args"), size - k).try_cast("double"))
+        token = F.get(F.col("args"), size - k)
+        return F.when(token.rlike(NUMBER), token.cast("double"))
 
     op = F.col("op")
     gray = F.when((op == "g") & number(1).isNotNull(), F.array(number(1), number(1), number(1)))
     rgb = F.when((op == "rg") & number(1).isNotNull() & number(2).isNotNull() & number(3).isNotNull(),
                  F.array(number(3), number(2), number(1)))
     key = 1 - number(1)
-    cmyk = F.when((op == "k") & F.lit(True) & number(1).isNotNull() & number(2).isNotNull() & number(3).isNotNull()
+    cmyk = F.when((op == "k") & number(1).isNotNull() & number(2).isNotNull() & number(3).isNotNull()
                   & number(4).isNotNull(), F.array((1 - number(4)) * key, (1 - number(3)) * key, (1 - number(2)) * key))
     move = op.isin("Td", "TD") & number(1).isNotNull() & number(2).isNotNull()
     place = (op == "Tm") & number(6).isNotNull() & number(1).isNotNull() & number(2).isNotNull()
@@ -76,6 +83,7 @@ def hidden_text(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
         "_text": F.when(op.isin("Tj", "'", '"') & (size > 0), unescape(F.get(F.col("args"), size - 1)))
         .when(op == "TJ", join_strings(F.array_join("args", " "))),
     })
+    changes = changes.drop("args")
     w = W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     filled = changes.withColumns({
         "font_size": F.coalesce(F.last("_size", ignorenulls=True).over(w), F.lit(12.0)),
