@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vestigia.operators import rollups
@@ -105,11 +106,11 @@ def category_severity_pivot(spark, folder):
 @query("top_categories", f"""WITH {EV}, c AS (SELECT category, count(*) AS n FROM (SELECT {MIXED} FROM ev) GROUP BY 1)
 SELECT category, n FROM c WHERE (SELECT count(*) FROM c) >= 3 ORDER BY n DESC, category LIMIT 8""")
 def top_categories(spark, folder):
-    """The eight largest categories; empty if there are fewer than three."""
+    """The eight largest categories; empty if there are fewer than three. The guard counts the eight rows."""
     counts = rollups.category_counts(b.findings(spark, folder).selectExpr(*MIXED.split(", ")))
     top = counts.orderBy(F.desc("n"), "category").limit(8)
-    enough = top.agg((F.count(F.lit(1)) >= 3).alias("enough"))
-    return top.join(F.broadcast(enough), F.col("enough")).select("category", "n")
+    sized = top.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+    return sized.filter("_rows >= 3").drop("_rows")
 
 
 @query("top_weighted_categories", f"""WITH {EV}, c AS ({CATSEV} (SELECT {MIXED} FROM ev) GROUP BY 1)
