@@ -13,14 +13,11 @@ from vestigia.plans import catalog
 from vestigia.session import local_session
 
 HEADLINE = [
-    "risk_overview", "ioc_findings", "four_digests", "signature_rules", "exploit_patterns", "token_frequencies",
-    "severity_counts", "manipulation_score", "category_severity_pivot", "analyzer_status", "severity_rollup",
-    "metadata_date_rules", "uuid_time_delta", "modal_value", "timeline", "severity_order", "neighbour_noise",
-    "identical_groups", "identical_pairs", "shared_id_clusters", "compare_summary", "known_tool_lookup",
-    "prefix_cross_match", "unindexed_refs", "offset_consistency", "objects_after_range", "revision_diff",
-    "duplicate_blocks", "font_stats", "correlate_findings", "creator_profile",
-    "evidence_digest", "fingerprint_similarity", "graph_bfs", "signature_clusters",
-    "value_pair_chi_square", "severity_windows",
+    "risk_overview", "four_digests", "signature_rules", "token_frequencies", "severity_counts", "analyzer_status",
+    "severity_rollup", "metadata_date_rules", "timeline", "severity_order", "neighbour_noise", "identical_groups",
+    "shared_id_clusters", "known_tool_lookup", "offset_consistency", "objects_after_range", "revision_diff",
+    "duplicate_blocks", "correlate_findings", "evidence_digest", "graph_bfs", "value_pair_chi_square",
+    "severity_windows",
 ]
 
 
