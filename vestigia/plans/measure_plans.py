@@ -34,8 +34,8 @@ def permission_bits(spark, folder):
     return masks.select("event_id", *[c.alias(n) for n, c in nm.permission_bits(F.col("mask")).items()])
 
 
-@query("number_labels", f"""SELECT o_orderkey AS doc_id, {ROMAN_SQL.format(n='(o_custkey % 999 + 1)')} AS roman, {ALPHA_SQL.format(n='(o_custkey % 700 + 1)')} AS alpha FROM orders""")
-def number_labels(spark, folder):
+@query("roman", f"""SELECT o_orderkey AS doc_id, {ROMAN_SQL.format(n='(o_custkey % 999 + 1)')} AS roman, {ALPHA_SQL.format(n='(o_custkey % 700 + 1)')} AS alpha FROM orders""")
+def roman(spark, folder):
     n = F.col("o_custkey")
     return table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("doc_id"), nm.roman(n % 999 + 1).alias("roman"), nm.alpha_label(n % 700 + 1).alias("alpha"))

@@ -141,7 +141,7 @@ def block_outliers(spark, folder):
  ORDER BY m DESC, h.block) AS place FROM h WHERE hot QUALIFY place <= 10""")
 def block_hotspots(spark, folder):
     top = sq.top_per_group(_blocks(spark, folder).filter("hot"), ["doc_id"], [F.desc("block_mean"), F.col("block")], 10)
-    return top.select("doc_id", F.col("block").cast("string").alias("block"), F.round("block_mean", 4).alias("block_mean"), "place")
+    return top.select("doc_id", F.col("block").cast("string").alias("block"), F.round("block_mean", 4).alias("block_mean"), F.col("place").cast("long").alias("place"))
 
 
 @query("regular_spacing", f"""WITH {EV}, p AS (SELECT doc_id, epoch_us(ts) / 3600000000.0 AS x, count(*) OVER (PARTITION BY doc_id) AS n_points,
@@ -180,7 +180,7 @@ def top_per_group(spark, folder):
 
     found = b.findings(spark, folder)
     top = sq.top_per_group(found, ["doc_id"], [severity_rank(F.col("severity")).desc(), F.col("finding_id")], 5)
-    return top.select("doc_id", "finding_id", "severity", "place")
+    return top.select("doc_id", "finding_id", "severity", F.col("place").cast("long").alias("place"))
 
 
 STEPS = ["network", "rules", "dates", "identifiers", "structure", "revisions", "hidden_text", "correlation"]

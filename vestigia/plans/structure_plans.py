@@ -189,11 +189,11 @@ def size_profile(spark, folder):
     return st.size_profile(b.derived(spark, folder, "lineitem", PAGE))
 
 
-@query("page_format", f"""WITH p AS (SELECT CAST(width AS DOUBLE) AS w, CAST(height AS DOUBLE) AS h FROM (SELECT {PAGE} FROM lineitem)),
+@query("is_a4", f"""WITH p AS (SELECT CAST(width AS DOUBLE) AS w, CAST(height AS DOUBLE) AS h FROM (SELECT {PAGE} FROM lineitem)),
 c AS (SELECT (abs(w - 595.28) < 5 AND abs(h - 841.89) < 5) OR (abs(w - 841.89) < 5 AND abs(h - 595.28) < 5) AS is_a4,
  CASE WHEN w < h THEN 'portrait' WHEN w > h THEN 'landscape' ELSE 'square' END AS orientation FROM p)
 SELECT is_a4, orientation, count(*) AS n FROM c GROUP BY ALL""")
-def page_format(spark, folder):
+def is_a4(spark, folder):
     """A4 test and orientation of every page."""
     pages = b.derived(spark, folder, "lineitem", PAGE).select(F.col("width").cast("double"), F.col("height").cast("double"))
     w, h = F.col("width"), F.col("height")
