@@ -35,7 +35,7 @@ def join_strings(text: Column) -> Column:
 def operators_with_operands(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
     tokens = F.filter(F.split(F.col(text), r"\s+"), lambda t: t != "")
     with_tokens = pages.withColumn("_t", tokens)
-    places = F.filter(F.sequence(F.lit(1), F.size("_t")), lambda i: F.element_at("_t", i).isin(OPERATORS))
+    places = F.array_compact(F.transform("_t", lambda t, i: F.when(t.isin(OPERATORS), i + 1)))
     placed = with_tokens.filter(F.size("_t") > 0).withColumn("_at", places)
     ops = F.transform("_at", lambda p, j: F.struct(
         p.alias("pos"), F.element_at("_t", p).alias("op"),

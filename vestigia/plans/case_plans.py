@@ -14,7 +14,6 @@ from vestigia.operators.matching import known_tool
 from vestigia.plans import bindings as b
 from vestigia.plans.bindings import EV, META, OBJ
 from vestigia.plans.compare_plans import TOOL
-from vestigia.plans.matching_plans import CATEGORY
 from vestigia.plans.network_plans import d_mails
 from vestigia.plans.registry import query
 from vestigia.plans.text_plans import PATHS, FONT

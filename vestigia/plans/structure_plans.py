@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vestigia.operators import structure as st
 from vestigia.plans import bindings as b
-from vestigia.plans.bindings import META, OBJ
+from vestigia.plans.bindings import OBJ
 from vestigia.plans.registry import query
 from vestigia.sources.tables import table
 
