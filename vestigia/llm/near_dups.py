@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = stored(members.join(clusters, "cluster").select(
         "doc_id", "cluster", "n_blocks", F.pmod(F.xxhash64("doc_id"), "n_blocks").alias("side"),
         (F.col("doc_id") == F.col("hub")).cast("int").alias("mark")), "placed")
-    sets = stored(docs.join(placed, "doc_id").select("doc_id", "cluster", "n_blocks", "side", "mark", "text").mapInArrow(
+    sets = stored(docs.join(placed.hint("merge"), "doc_id").select("doc_id", "cluster", "n_blocks", "side", "mark", "text").mapInArrow(
         _with_sets, "doc_id long, cluster long, n_blocks long, side long, mark int, shingles binary"), "sets")
     everywhere = F.when(F.col("mark") == 1, F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("side"))
     first = _links(sets.withColumn("part", F.explode(everywhere)), settle=False)
