@@ -188,7 +188,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                                                F.count(F.lit(1)).alias("n"))
                     .filter("first < last").select("key", "first", "n"), "shared-keys")
     held = stored(holders.join(shared, "key").groupBy("doc_id", "first").agg(F.sum("n").alias("weight")), "held")
-    loose = components(held.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    # A document joins its first holders (50 at most) as a star around the smallest of them, so large clusters give few edges.
+    stars = held.groupBy("doc_id").agg(F.min("first").alias("a"), F.collect_set("first").alias("firsts")).select(
+        "a", F.explode(F.array_union("firsts", F.array("doc_id"))).alias("b"))
+    loose = components(stars)
     weights = held.groupBy("doc_id").agg(F.sum("weight").alias("weight"))
     sizes = signed.join(loose, signed.doc_id == loose.node).groupBy("node", "component").agg(F.sum("n_shingles").alias("size"))
     members = stored(sizes.join(weights, F.col("node") == weights.doc_id).select("doc_id", F.col("component").alias("cluster"), "weight", "size"),
