@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from vestigia.llm import near_dups
+from vestigia.llm import decontaminate, near_dups
 
 QUERIES = {
+    "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op9_minhash_near_dedup": near_dups.op9_minhash_near_dedup,
 }
 ORACLES = {
+    "op7_benchmark_decontamination": decontaminate.ORACLE,
     "op9_minhash_near_dedup": near_dups.ORACLE,
 }
