@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 _LONG_WORD = 256
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -27,8 +27,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int]]:
     """Row ranges that hold about `limit` bytes of text each (one row at least)."""
+    limit = limit or SLICE_BYTES
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
     ends = np.cumsum(sizes)
     start, n = 0, len(sizes)
