@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vestigia.llm import decontaminate, near_dups
+from vestigia.llm import decontaminate, near_dups, quality_rules
 
 QUERIES = {
+    "op4_quality_rules": quality_rules.op4_quality_rules,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op9_minhash_near_dedup": near_dups.op9_minhash_near_dedup,
 }
