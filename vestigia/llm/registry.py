@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vestigia.llm import decontaminate, near_dups, quality_rules
+from vestigia.llm import decontaminate, near_dups, personal_data, quality_rules
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_pii_weak_supervision": personal_data.op6_pii_weak_supervision,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op9_minhash_near_dedup": near_dups.op9_minhash_near_dedup,
 }
