@@ -217,6 +217,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One row of each group of near duplicates, all columns kept: the one of the smallest id. Rows that repeat this id with
+    equal text are one document, so one of them stays."""
+    judged = near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    judged = stored(judged.select(F.col("doc_id").alias("_kept"), "_rows"), "kept")
+    rows = docs.join(judged, F.col("doc_id").eqNullSafe(F.col("_kept")))
+    once = rows.filter("_rows = 1 OR doc_id IS NULL")
+    again = rows.filter("_rows > 1 AND doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    return once.union(again).drop("_kept", "_rows")
+
+
 ORACLE = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from vestigia.llm import decontaminate, near_dups, personal_data, quality_rules
+import corpus_pipeline
+from vestigia.llm import decontaminate, near_dups, personal_data, pieces, quality_rules
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_pii_weak_supervision": personal_data.op6_pii_weak_supervision,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op9_minhash_near_dedup": near_dups.op9_minhash_near_dedup,
+    "op10_sentencepiece_viterbi": pieces.op10_sentencepiece_viterbi,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op7_benchmark_decontamination": decontaminate.ORACLE,

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1_000_000
 _LONG_WORD = 256
@@ -30,7 +31,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def slices(texts: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int]]:
     """Row ranges that hold about `limit` bytes of text each (one row at least)."""
     limit = limit or SLICE_BYTES
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     ends = np.cumsum(sizes)
     start, n = 0, len(sizes)
     while start < n:
@@ -42,7 +43,7 @@ def slices(texts: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of the rows, one after the other, and n + 1 offsets. Null counts as empty."""
-    texts = pa.compute.fill_null(texts, "").cast(pa.large_string())
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
