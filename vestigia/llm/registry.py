@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from vestigia.llm import decontaminate, near_dups, personal_data, pieces, quality_rules
+from vestigia.llm import decontaminate, near_dups, personal_data, pieces, quality_rules, token_counts, token_files
 
 QUERIES = {
+    "op2_token_counts": token_counts.op2_token_counts,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_pii_weak_supervision": personal_data.op6_pii_weak_supervision,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+    "op8_simple8b_files": token_files.op8_simple8b_files,
     "op9_minhash_near_dedup": near_dups.op9_minhash_near_dedup,
     "op10_sentencepiece_viterbi": pieces.op10_sentencepiece_viterbi,
     "pipeline": corpus_pipeline.run,
