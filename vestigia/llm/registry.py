@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from vestigia.llm import decontaminate, near_dups, personal_data, pieces, quality_rules, token_counts, token_files
+from vestigia.llm import decontaminate, near_dups, personal_data, pieces, quality_rules, token_counts, token_files, warc
 
 QUERIES = {
+    "op1_warc_revisits": warc.op1_warc_revisits,
     "op2_token_counts": token_counts.op2_token_counts,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_pii_weak_supervision": personal_data.op6_pii_weak_supervision,
@@ -16,6 +17,7 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
+    "op1_warc_revisits": warc.ORACLE,
     "op7_benchmark_decontamination": decontaminate.ORACLE,
     "op9_minhash_near_dedup": near_dups.ORACLE,
 }
