@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vestigia.llm.common import components, stored, table
+from vestigia.llm.common import components, set_apart, stored, table
 from vestigia.llm.words import mix64, shingle_sets
 
 CHUNKS, SLOTS = 10, 5
@@ -222,10 +222,11 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     equal text are one document, so one of them stays."""
     judged = near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     judged = stored(judged.select(F.col("doc_id").alias("_kept"), "_rows"), "kept")
-    rows = docs.join(judged, F.col("doc_id").eqNullSafe(F.col("_kept")))
-    once = rows.filter("_rows = 1 OR doc_id IS NULL")
-    again = rows.filter("_rows > 1 AND doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    return once.union(again).drop("_kept", "_rows")
+    rows, columns = set_apart(docs)
+    rows = rows.join(judged.hint("merge"), F.col("_in_doc_id").eqNullSafe(F.col("_kept")))
+    once = rows.filter("_rows = 1 OR _kept IS NULL")
+    again = rows.filter("_rows > 1 AND _kept IS NOT NULL").dropDuplicates(["_in_doc_id", "_in_text"])
+    return once.union(again).select(*columns)
 
 
 ORACLE = f"""
