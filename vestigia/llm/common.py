@@ -26,6 +26,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def set_apart(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """`docs` with every column c renamed to `_in_c`, and the columns that give `docs` back: operators can then add columns of any
+    name."""
+    names = [f"_in_{c}" for c in docs.columns]
+    return docs.toDF(*names), [F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns)]
+
+
 def let(value: Column, use) -> Column:
     """`use(value)` with the value computed once."""
     return F.transform(F.array(value), use)[0]

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vestigia.llm.common import let, lower_ascii, stored, table
+from vestigia.llm.common import lower_ascii, set_apart, stored, table
 
 WINDOW = 13
 SET_ROWS = 1_000_000
@@ -91,6 +91,7 @@ def _covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`doc_id, _text, n_words, n_hit, n_items, items_sha256, spans, contaminated` for each row; `spans` are the hit windows
     `(at, size)` in words, for callers that cut passages instead of documents."""
+    docs = docs.select("doc_id", "text")
     windows = stored(benchmark_windows(benchmark), "windows")
     per_doc = stored(hits(docs, windows).groupBy("doc_id", "_text").agg(
         F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"),
@@ -108,9 +109,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that are not contaminated, all columns kept."""
-    bad = stored(contamination(docs, benchmark).filter("contaminated").select(
+    bad = stored(contamination(docs.select("doc_id", "text"), benchmark).filter("contaminated").select(
         F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left_anti")
+    rows, columns = set_apart(docs)
+    same = F.col("_in_doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("_in_text") == F.col("_t"))
+    return rows.join(bad, same, "left_anti").select(*columns)
 
 
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:

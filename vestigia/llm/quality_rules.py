@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vestigia.llm.common import let, stored, table
+from vestigia.llm.common import let, set_apart, stored, table
 
 BLANKS = r"[\x20\x09-\x0D]+"
 BLANK_CHARS = " \t\n\x0b\f\r"
@@ -214,12 +214,12 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the base rule and the learned list keep, with their own columns only."""
     rules = learn(docs, labels)
-    renamed = docs.toDF(*[f"_in_{c}" for c in docs.columns])  # so that no statistic meets a column of the same name
-    tested = statistics(renamed.withColumns({"doc_id": F.col("_in_doc_id"), "text": F.col("_in_text")}))
+    rows, columns = set_apart(docs)
+    tested = statistics(rows.withColumns({"doc_id": F.col("_in_doc_id"), "text": F.col("_in_text")}))
     # A filter on the bare statistics would be moved below them and split the texts again for every word; a random value,
     # never below 0, holds it in place.
     kept = tested.withColumn("_held", F.rand()).filter(~F.col("base_failed") & (verdict(rules) == 0) & (F.col("_held") >= 0))
-    return kept.select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns])
+    return kept.select(*columns)
 
 
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

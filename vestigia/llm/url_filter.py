@@ -114,7 +114,7 @@ def scored(rows: DataFrame, table_of_grams: DataFrame) -> DataFrame:
 
 
 def threshold(judged: DataFrame, table_of_grams: DataFrame) -> int:
-    """The lower edge of the bin that gives the best mean of both kinds' recall on the held-out URLs; ties go to the lowest."""
+    """The place between two bins that gives the best mean of both kinds' recall on the held-out URLs; ties go to the lowest."""
     held = judged.filter(F.col("given").isNotNull() & (_fold() == 0))
     marks = scored(held, table_of_grams)
     named = held.select("page_id", F.xxhash64("url").alias("_url"), "given").distinct()
@@ -124,11 +124,12 @@ def threshold(judged: DataFrame, table_of_grams: DataFrame) -> int:
     allow, block = sum(r["allow"] for r in rows), sum(r["block"] for r in rows)
     if not allow or not block:
         return 0
-    best, at, below_allow, below_block = -1.0, 0, 0, 0
+    best, at, below_allow, below_block, last = -1.0, 0, 0, 0, None
     for r in sorted(rows, key=lambda r: r["bin"]):
         worth = (allow - below_allow) / allow + below_block / block
         if worth > best + 1e-12:
-            best, at = worth, r["bin"] * BIN
+            best, at = worth, ((r["bin"] if last is None else last) + r["bin"]) * BIN // 2
+        last = r["bin"]
         below_allow, below_block = below_allow + r["allow"], below_block + r["block"]
     return int(at)
 
@@ -188,8 +189,8 @@ bins AS (SELECT floor(least(greatest(score, -{LIMIT}), {LIMIT}) / {BIN})::BIGINT
   count(CASE WHEN vr LIKE 'block:%' THEN 1 END) AS y FROM sc WHERE vr IS NOT NULL AND fold = 0 GROUP BY 1),
 cum AS (SELECT bin, coalesce(sum(x) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bx,
   coalesce(sum(y) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bys,
-  sum(x) OVER () AS tx, sum(y) OVER () AS ty FROM bins),
-th AS (SELECT coalesce((SELECT bin * {BIN} FROM cum WHERE tx > 0 AND ty > 0
+  sum(x) OVER () AS tx, sum(y) OVER () AS ty, coalesce(lag(bin) OVER (ORDER BY bin), bin) AS last FROM bins),
+th AS (SELECT coalesce((SELECT (bin + last) * {BIN // 2} FROM cum WHERE tx > 0 AND ty > 0
   ORDER BY round((tx - bx)::DOUBLE / tx + bys::DOUBLE / ty, 11) DESC, bin LIMIT 1), 0) AS t)
 SELECT j.page_id, host, path, substr(j.vr, 7) AS rule,
   coalesce(split_part(j.vr, ':', 1), CASE WHEN sc.score >= t THEN 'allow' ELSE 'block' END) AS verdict,
