@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 URL_PATTERN = r"""(?i)https?://[^\s<>"{}|\\^`\[\]']{4,}"""
 IP_PATTERN = r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"
 EMAIL_PATTERN = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+# The same matches in linear time: a search starts where a run of local characters starts, or where the last match ended.
+EMAIL_SEARCH = r"(?:\G|(?<![a-zA-Z0-9._%+\-]))[a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 URL_TAIL = r"""[.,;)"']+$"""
 SUSPICIOUS_TLDS = [".onion", ".ru", ".to", ".xyz", ".bit", ".tk", ".cc", ".su"]
 URL_SHORTENERS = [
@@ -40,7 +42,7 @@ def ips(text: Column) -> Column:
 
 
 def emails(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(EMAIL_PATTERN), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(EMAIL_SEARCH), F.lit(0))
     return _where(text.contains("@"), F.array_distinct(F.transform(found, F.lower)))
 
 

@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 PATH_PATTERN = (
     r"""(?i)(?:[A-Za-z]:\\|/home/|/Users/|/var/|C:/)(?:[^\s"'<>:*?|/\\]+[/\\])*[^\s"'<>:*?|/\\]+"""
 )
+# The same matches without one level of recursion for each segment.
+PATH_SEARCH = r"""(?i)(?:[A-Za-z]:\\|/home/|/Users/|/var/|C:/)[^\s"'<>:*?|/\\]++(?:[/\\][^\s"'<>:*?|/\\]++)*+"""
 SUBSET_PATTERN = r"^([A-Z]{6})\+(.+)$"
 SESSION_PATTERN = r'rsid[A-Z]*="([0-9A-Fa-f]{8})"'
 BLACK_BOX_PATTERN = r"0\s+0\s+0\s+(?:rg|RG)\s*[\d.]+\s+[\d.]+\s+[\d.]+\s+[\d.]+\s+re\s+f"
-TEXT_SHOWN_PATTERN = r"(?s)\((.*?)\)\s*(?:Tj|TJ|')"
+TEXT_SHOWN_END = r"\)\s*+(?:Tj|TJ|')"
 LINEAR_PATTERN = r"(?s)(\d+\s+\d+\s+obj\s*<<[^>]*?/Linearized\s+[\d.]+[^>]*?>>)"
-HEADER_WINDOW = 4096
-MAX_STRINGS = 30
+HEADER_WINDOW = 4096  # the format places the leading dictionary here
+SNIPPET_PATTERNS = {
+    "has_text": r"/Type\s*/Page|BT\s|Tj\s|TJ\s",
+    "has_metadata": r"(?i)/Author|/Title|/Creator|/Producer",
+    "has_js": r"(?i)/JavaScript|/JS\s",
+    "has_url": r"(?i)https?://|/URI\s",
+}
+PRODUCT_WORDS = ["Microsoft", "Word", "Excel"]
 
 
 def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -23,7 +31,7 @@ def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def paths(text: Column) -> Column:
-    return extract_all(text, PATH_PATTERN)
+    return extract_all(text, PATH_SEARCH)
 
 
 def subset_prefix(name: Column) -> Column:
@@ -40,30 +48,26 @@ def session_ids(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(extract_all(text, SESSION_PATTERN, 1), F.upper)))
 
 
-def printable_strings(text: Column) -> Column:
+def printable_strings(text: Column, limit: int | None = None) -> Column:
     """Printable runs of at least four characters that look like a path, an address, a name or an office
-    product; distinct, in order, the first thirty."""
+    product; distinct, in order, all of them or the first `limit`."""
     runs = F.transform(extract_all(text, r"[\x20-\x7e]{4,}"), lambda s: F.trim(s))
 
     def telling(s: Column) -> Column:
         return (
             (s.contains("\\") & (F.length(s) > 8)) | (s.contains("@") & s.contains("."))
             | s.rlike(r"^[A-Z][a-z]+ [A-Z][a-z]+$")
-            | s.contains("Microsoft") | s.contains("Word") | s.contains("Excel")
+            | s.rlike("|".join(PRODUCT_WORDS))
         )
 
-    return F.slice(F.array_distinct(F.filter(runs, lambda s: telling(s))), 1, MAX_STRINGS)
+    found = F.array_distinct(F.filter(runs, lambda s: telling(s)))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def snippet_flags(text: Column) -> dict[str, Column]:
     """What an orphaned snippet contains, and its type by precedence."""
-    flags = {
-        "has_text": text.rlike(r"/Type\s*/Page|BT\s|Tj\s|TJ\s"),
-        "has_metadata": text.rlike(r"(?i)/Author|/Title|/Creator|/Producer"),
-        "has_js": text.rlike(r"(?i)/JavaScript|/JS\s"),
-        "has_url": text.rlike(r"(?i)https?://|/URI\s"),
-        "has_stream": text.contains("stream"),
-    }
+    flags = {name: text.rlike(pattern) for name, pattern in SNIPPET_PATTERNS.items()}
+    flags["has_stream"] = text.contains("stream")
     kind = (
         F.when(text.contains("/Page"), "Page").when(text.contains("/Metadata") | text.contains("/Author"), "Metadata")
         .when(text.contains("/EmbeddedFile"), "EmbeddedFile").when(text.contains("/JavaScript"), "JavaScript")
@@ -86,12 +90,14 @@ def count_of(text: Column, part: str) -> Column:
 
 def black_boxes_over_text(text: Column) -> Column:
     boxes = F.regexp_count(text, F.lit(BLACK_BOX_PATTERN))
-    return F.when(text.rlike(TEXT_SHOWN_PATTERN), boxes).otherwise(F.lit(0)).cast("long")
+    opened = F.instr(text, "(")
+    shown = (opened > 0) & F.substr(text, opened + 1).rlike(TEXT_SHOWN_END)
+    return F.when(shown, boxes).otherwise(F.lit(0)).cast("long")
 
 
-def linear_fields(text: Column) -> dict[str, Column]:
-    """Numbers of the leading dictionary. The format places it in the first 4096 characters."""
-    entry = F.regexp_extract(F.substring(text, 1, HEADER_WINDOW), LINEAR_PATTERN, 1)
+def linear_fields(text: Column, window: int = HEADER_WINDOW) -> dict[str, Column]:
+    """Numbers of the leading dictionary, looked for in the first `window` characters, where the format places it."""
+    entry = F.regexp_extract(F.substring(text, 1, window), LINEAR_PATTERN, 1)
 
     def number(key: str) -> Column:
         return F.regexp_extract(entry, rf"/{key}\s+(\d+)", 1).try_cast("long")

@@ -52,9 +52,10 @@ def count_where(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Broadcast only after counting that the side is small; otherwise leave a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def join_reduced(large: DataFrame, reduced: DataFrame, keys: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a side that an aggregate has reduced to one row per key. Spark splits a hot key only if both sides of a
+    join are shuffled for it; the rebalance keeps the aggregate's own partitioning out of the join."""
+    return large.join(reduced.hint("rebalance"), keys if isinstance(keys, str) else list(keys), how)
 
 
 def joined(values: Column, sep: str = ",") -> Column:

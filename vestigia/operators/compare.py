@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vestigia.operators.common import first_k, join_reduced
+
 MIN_DOCUMENTS = 2
 MAX_DOCUMENTS = 4
 TIME_WINDOW_SECONDS = 300
@@ -26,7 +28,7 @@ def set_sizes(members: DataFrame, set_col: str = "comparison_id") -> DataFrame:
 
 def valid_members(members: DataFrame, set_col: str = "comparison_id") -> DataFrame:
     valid = set_sizes(members, set_col).filter("error IS NULL").select(set_col)
-    return members.join(valid, set_col, "left_semi")
+    return join_reduced(members, valid, set_col, "left_semi")
 
 
 def gathered(members: DataFrame, fields: list[str], set_col: str = "comparison_id", key: str = "doc_id") -> DataFrame:
@@ -86,8 +88,6 @@ def shared_id_pairs(members: DataFrame, ids: DataFrame, show: int = 5, key: str
                     id_col: str = "id") -> DataFrame:
     """Pairs of a set that share embedded ids: how many, and the first few. Ids are grouped per set, so
     an id that occurs in every document of the corpus still meets only four documents at a time."""
-    from vestigia.operators.common import first_k
-
     owned = valid_members(members.select("comparison_id", key)).join(ids.select(key, id_col).distinct(), key)
     holders = owned.groupBy("comparison_id", id_col).agg(F.array_sort(F.collect_list(key)).alias("docs"))
     matched = holders.filter(F.size("docs") > 1).select(
@@ -113,7 +113,7 @@ def metadata_diff(members: DataFrame, fields: list[str], key: str = "doc_id") ->
         F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields
     ])).alias("x")).select("comparison_id", key, "x.field", "x.value")
     valid = set_sizes(members).filter("error IS NULL").select("comparison_id")
-    filled = long.filter(F.coalesce(F.col("value"), F.lit("")) != "").join(valid, "comparison_id", "left_semi")
+    filled = long.filter(F.coalesce(F.col("value"), F.lit("")) != "").join(valid.hint("rebalance"), "comparison_id", "left_semi")
     grouped = filled.groupBy("comparison_id", "field").agg(
         F.array_sort(F.collect_list(F.struct(key, "value"))).alias("entries")
     )

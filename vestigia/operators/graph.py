@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vestigia.operators.common import join_reduced
 from vestigia.session import cut_lineage
 
 # Node types by key, and limits.
@@ -56,7 +57,7 @@ def edge_kinds(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     seen = walked.join(children, ["doc_id", "dst"])
     first = seen.filter(F.col("dst_depth") > 0).groupBy("doc_id", "dst").agg(
         F.min_by("src", F.struct("src_depth", "src")).alias("first_src"))
-    return seen.join(first, ["doc_id", "dst"], "left").select(
+    return join_reduced(seen, first, ["doc_id", "dst"], "left").select(
         "doc_id", "src", "dst",
         F.when(F.col("src") == F.col("first_src"), "contains").otherwise("reference").alias("kind"))
 
@@ -65,7 +66,7 @@ def reciprocal_edges(edges: DataFrame) -> DataFrame:
     """Edges whose reverse came earlier. Only the first position of each direction is kept for the test."""
     first = edges.groupBy("doc_id", "src", "dst").agg(F.min("seq").alias("_first"))
     reverse = first.select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "_first")
-    return edges.join(reverse, ["doc_id", "src", "dst"]).filter(F.col("seq") > F.col("_first")).drop("_first")
+    return join_reduced(edges, reverse, ["doc_id", "src", "dst"]).filter(F.col("seq") > F.col("_first")).drop("_first")
 
 
 def reciprocal_findings(edges: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def connected_groups(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     labels = cut_lineage(edges.select("doc_id").distinct().withColumn("label", F.col("doc_id")))
     for _ in range(max_rounds):
         per_id = edges.join(labels, "doc_id").groupBy("id").agg(F.min("label").alias("_id_label"))
-        per_doc = edges.join(per_id, "id").groupBy("doc_id").agg(F.min("_id_label").alias("_new"))
+        per_doc = join_reduced(edges, per_id, "id").groupBy("doc_id").agg(F.min("_id_label").alias("_new"))
         moved = labels.join(per_doc, "doc_id").select("doc_id", "label", F.least("label", "_new").alias("_new"))
         jump = moved.select(F.col("doc_id").alias("_new"), F.col("_new").alias("_jump"))
         updated = cut_lineage(moved.join(jump, "_new", "left").select(

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vestigia.operators.common import broadcast_if_small, first_k, rule
+from vestigia.operators.common import first_k, join_reduced, rule
 
 # Known producer strings and the words of each tool category.
 KNOWN_PRODUCERS = {
@@ -126,30 +126,31 @@ def tool_mismatch_rule(producer: str = "producer", creator: str = "creator") ->
 
 
 def lookup(df: DataFrame, key: str | Sequence[str], table: DataFrame, defaults: dict[str, Column]) -> DataFrame:
-    """Left join on a table with one row per key; missing entries take the default. The table is
-    broadcast only if it is small."""
-    found = df.join(broadcast_if_small(table), key, "left")
+    """Left join on a table with one row per key; missing entries take the default. Spark broadcasts the table if it is
+    small; constant tables are marked so by the caller."""
+    found = df.join(table, key, "left")
     return found.withColumns({c: F.coalesce(F.col(c), d) for c, d in defaults.items()})
 
 
 def digest_reputation(df: DataFrame, verdicts: DataFrame, digest: str) -> tuple[DataFrame, DataFrame]:
     """Documents with a known verdict, and the distinct digests still to be submitted."""
-    hits = df.join(broadcast_if_small(verdicts), digest)
-    misses = df.join(verdicts.select(digest), digest, "left_anti").select(digest).distinct()
+    hits = join_reduced(df, verdicts, digest)
+    misses = join_reduced(df, verdicts.select(digest), digest, "left_anti").select(digest).distinct()
     return hits, misses
 
 
 def shared_with_probe(items: DataFrame, probe: DataFrame, show: int = 10, key: str = "doc_id",
                       value: str = "value") -> DataFrame:
-    """All other documents sharing a value with one probe document: number shared and the first few.
-    The probe's values are broadcast if they are few; the corpus is scanned once and reduced per document."""
-    wanted = broadcast_if_small(probe.select(value, F.col(key).alias("probe_id")).distinct())
-    hit = items.join(wanted, value).filter(F.col(key) != F.col("probe_id")).select(key, value).distinct()
-    counts = hit.groupBy(key).agg(F.count(F.lit(1)).alias("n_shared"))
-    return counts.join(first_k(hit, [key], [F.col(value)], value, show, "shared"), key)
+    """All other documents sharing a value with a probe document: number shared and the first few, for each probe. The corpus is
+    scanned once and reduced per probe and document."""
+    keys = ["probe_id", key]
+    wanted = probe.select(value, F.col(key).alias("probe_id")).distinct()
+    hit = items.join(wanted, value).filter(F.col(key) != F.col("probe_id")).select(*keys, value).distinct()
+    counts = hit.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_shared"))
+    return counts.join(first_k(hit, keys, [F.col(value)], value, show, "shared"), keys)
 
 
 def same_signature(signed: DataFrame, probe: DataFrame, signature: str = "signature", key: str = "doc_id") -> DataFrame:
-    """Other documents with the probe's non-empty signature."""
-    wanted = F.broadcast(probe.select(signature, F.col(key).alias("probe_id")).filter(F.size(signature) > 0).limit(1))
+    """Other documents with a probe's non-empty signature, all of them, for each probe."""
+    wanted = probe.select(signature, F.col(key).alias("probe_id")).filter(F.size(signature) > 0).distinct()
     return signed.join(wanted, signature).filter(F.col(key) != F.col("probe_id"))

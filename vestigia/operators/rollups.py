@@ -197,6 +197,5 @@ def severity_share(findings: DataFrame) -> DataFrame:
 
 def severity_rollup(findings: DataFrame) -> DataFrame:
     """Severity counts per category, per source and in total, in one pass."""
-    return findings.cube("category", "source").agg(
-        F.grouping_id().cast("long").alias("level"), *severity_aggs()
-    ).filter(F.col("level") != 0)
+    c, s = F.col("category"), F.col("source")
+    return findings.groupingSets([[c], [s], []], c, s).agg(F.grouping_id().cast("long").alias("level"), *severity_aggs())

@@ -90,6 +90,10 @@ CONTENT_PATTERNS = [
     (r"/GoTo\w*\s", "GoTo-Action im Content-Stream"),
     (r"\\x[0-9a-fA-F]{2}", "Hex-Escape-Sequenzen"),
 ]
+# Possessive forms with the same matches: the plain ones recurse once for each repetition.
+POSSESSIVE = {r"(?:q\s+){10,}": r"(?:q\s+){10,}+", r"(?:Q\s+){10,}": r"(?:Q\s+){10,}+"}
+# Pattern that takes everything from the first marker to the last run of zeros: one match at most, and only behind a marker.
+PADDED = {r"(?s)/JBIG2Decode.*\x00{20,}": ("/JBIG2Decode", r"\x00{20}")}
 OBFUSCATION_PATTERNS = [
     (r"eval\s*\(", "eval() — mögliche Code-Obfuskation"),
     (r"unescape\s*\(", "unescape() — häufig bei Exploit-Code"),
@@ -197,17 +201,26 @@ def load_rules(spark: SparkSession, path: str, known: list[Rule] | None = None)
 
 
 def pattern_hits(df: DataFrame, keys: list[str], text: str, patterns: list[tuple[str, str]]) -> DataFrame:
-    """Matches and first match per pattern over the whole text."""
+    """Matches and first match per pattern over the whole text, in time linear in its length."""
     t = F.col(text)
-    tests = [F.when(t.rlike(p), F.struct(
-        F.lit(name).alias("pattern"), F.regexp_count(t, F.lit(p)).cast("long").alias("match_count"),
-        F.substring(F.regexp_extract(t, p, 0), 1, 60).alias("sample"))) for p, name in patterns]
-    found = F.filter(F.array(*tests), lambda h: h.isNotNull())
+
+    def hit(pattern: str, name: str) -> Column:
+        count = F.regexp_count(t, F.lit(POSSESSIVE.get(pattern, pattern)))
+        test = t.rlike(POSSESSIVE.get(pattern, pattern))
+        if pattern in PADDED:
+            marker, rest = PADDED[pattern]
+            at = F.instr(t, marker)
+            test, count = (at > 0) & F.substr(t, at).rlike(rest), F.lit(1)
+        return F.when(test, F.struct(
+            F.lit(name).alias("pattern"), count.cast("long").alias("match_count"),
+            F.substring(F.regexp_extract(t, POSSESSIVE.get(pattern, pattern), 0), 1, 60).alias("sample")))
+
+    found = F.filter(F.array(*[hit(p, name) for p, name in patterns]), lambda h: h.isNotNull())
     return df.select(*keys, F.explode(found).alias("h")).select(*keys, "h.*")
 
 
 def first_pattern(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    return F.coalesce(*[F.when(text.rlike(p), name) for p, name in patterns])
+    return F.coalesce(*[F.when(text.rlike(POSSESSIVE.get(p, p)), name) for p, name in patterns])
 
 
 def chain_types(chain: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vestigia.functions.numbers import label_text
 from vestigia.operators import ordered
+from vestigia.operators.common import join_reduced
 from vestigia.operators.structure import SMALL_REVISION, TRAILING_BYTES
 
 
@@ -78,7 +79,7 @@ def duplicate_to_earliest(parts: DataFrame, keys: Sequence[str], pos: str, diges
     """Every repeated part with the earliest equal one. The earliest positions are aggregated first, so a
     digest that fills a document meets one row."""
     first = parts.groupBy(*keys, digest).agg(F.min(pos).alias("first_pos"), F.count(F.lit(1)).alias("_n"))
-    return parts.join(first.filter("_n > 1"), [*keys, digest]).filter(F.col(pos) > F.col("first_pos")).drop("_n")
+    return join_reduced(parts, first.filter("_n > 1"), [*keys, digest]).filter(F.col(pos) > F.col("first_pos")).drop("_n")
 
 
 def timeline(sources: Sequence[DataFrame], keys: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vestigia.operators.common import first_k
+from vestigia.operators.common import first_k, join_reduced
 
 # Thresholds.
 MANY_UNINDEXED = 5
@@ -25,7 +25,7 @@ A4_TOLERANCE = 5.0
 
 def orphan_objects(content: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
     """Objects found in the content that the active index does not list."""
-    return content.join(index.select(*keys).distinct(), keys, "left_anti")
+    return join_reduced(content, index.select(*keys).distinct(), keys, "left_anti")
 
 
 def unindexed_refs(objects: DataFrame, in_use: DataFrame, free: DataFrame) -> DataFrame:
@@ -40,7 +40,10 @@ def unindexed_refs(objects: DataFrame, in_use: DataFrame, free: DataFrame) -> Da
 def offset_consistency(entries: DataFrame, starts: DataFrame, sizes: DataFrame) -> DataFrame:
     """Index entries that point beyond the file or to a place where no object starts."""
     found = starts.select("doc_id", "offset").distinct().withColumn("_start", F.lit(True))
-    checked = entries.join(sizes.select("doc_id", "file_size"), "doc_id").join(found, ["doc_id", "offset"], "left")
+    sized = entries.join(sizes.select("doc_id", "file_size"), "doc_id")
+    # Free entries (offset 0) have no start to be found, and would all meet in one place.
+    placed = join_reduced(sized.filter("offset > 0"), found, ["doc_id", "offset"], "left")
+    checked = placed.unionByName(sized.filter("offset <= 0"), allowMissingColumns=True)
     error = F.when(F.col("offset") > F.col("file_size"), "beyond_end").when(
         (F.col("offset") > 0) & F.col("_start").isNull(), "no_object_start")
     return checked.withColumn("error", error).filter("error IS NOT NULL").drop("_start")
@@ -55,7 +58,7 @@ def revision_changes(index: DataFrame) -> DataFrame:
     last = index.groupBy("doc_id").agg(F.min("revision").alias("_first"), F.max("revision").alias("_last"))
     w = W.partitionBy("doc_id", "obj_no").orderBy("revision")
     seen = index.withColumns({"_prev": F.lag("revision").over(w), "_next": F.lead("revision").over(w)})
-    joined = seen.join(last, "doc_id")
+    joined = join_reduced(seen, last, "doc_id")
     present_before = F.col("_prev") == F.col("revision") - 1
     events = F.array(
         F.when((F.col("revision") > F.col("_first")) & ~F.coalesce(present_before, F.lit(False)),
@@ -164,7 +167,7 @@ def duplicate_offsets(entries: DataFrame) -> DataFrame:
     keys = ["doc_id", "offset"]
     once = entries.filter("offset <> 0").select(*keys, "obj_no").distinct()
     shared = once.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_objects")).filter("n_objects > 1")
-    return once.join(shared, keys)
+    return join_reduced(once, shared, keys)
 
 
 def required_member(free: DataFrame) -> DataFrame:

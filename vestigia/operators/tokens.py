@@ -15,7 +15,6 @@ OPERATORS = ["BT", "ET", "Tf", "rg", "RG", "g", "k", "Tr", "Td", "TD", "Tm", "Tj
 NO_STATE = ["BT", "ET", "RG"]
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 WHITE = 0.92
-MAX_OPERANDS = 20
 PAGE_MARGIN = 50
 
 
@@ -42,8 +41,7 @@ def operators_with_operands(pages: DataFrame, keys: list[str], text: str) -> Dat
         F.when(j > 0, p - F.get(F.col("_at"), j - 1) - 1).otherwise(p - 1).alias("n")))
 
     def args(o: Column) -> Column:
-        n = F.least(o["n"], F.lit(MAX_OPERANDS))
-        return F.slice(F.col("_t"), o["pos"] - n, n)
+        return F.slice(F.col("_t"), o["pos"] - o["n"], o["n"])
 
     listed = F.transform("_ops", lambda o: F.struct(o["pos"].alias("pos"), o["op"].alias("op"), args(o).alias("args")))
     return placed.withColumn("_ops", ops).select(*keys, "page_width", "page_height", F.explode(listed).alias("o")).select(
@@ -55,8 +53,7 @@ def hidden_text(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
 
     Pages are distributed by key before they are taken apart: the compact text is shuffled once, and the
     running state then finds all instructions of a page in place."""
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ops = operators_with_operands(pages.repartition(n, *keys), keys, text).filter(~F.col("op").isin(NO_STATE))
+    ops = operators_with_operands(pages.repartition(*keys), keys, text).filter(~F.col("op").isin(NO_STATE))
     size = F.size("args")
 
     def number(k: int) -> Column:

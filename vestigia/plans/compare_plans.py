@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vestigia.operators import compare as cmp
-from vestigia.operators.common import joined
+from vestigia.operators.common import join_reduced, joined
 from vestigia.operators.matching import known_tool
 from vestigia.plans import bindings as b
 from vestigia.plans.bindings import EV, META, OBJ
@@ -49,7 +49,7 @@ def identical_groups(spark, folder):
     corpus shares stays cheap (the join's large side may be split by AQE)."""
     hashed = table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
     groups = hashed.groupBy("sha256").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs"))
-    linked = hashed.join(groups.filter("n_docs > 1"), "sha256")
+    linked = join_reduced(hashed, groups.filter("n_docs > 1"), "sha256")
     return linked.select("doc_id", "first_doc", "n_docs", F.expr("n_docs * (n_docs - 1) div 2").alias("n_pairs"))
 
 

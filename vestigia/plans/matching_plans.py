@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vestigia.operators import matching as mt
-from vestigia.operators.common import emit, joined
+from vestigia.operators.common import emit, join_reduced, joined
 from vestigia.plans import bindings as b
 from vestigia.plans.bindings import META, OBJ
 from vestigia.plans.compare_plans import TOOL
@@ -35,16 +35,17 @@ SIGNED = "list_transform(embedding[1:3], lambda x: CAST(floor(x * 4) AS INT))"
 
 @query("signature_cross_match", f"""WITH s AS (SELECT vec_id AS doc_id, label, {SIGNED} AS sig FROM embeddings),
 p AS (SELECT * FROM s ORDER BY doc_id DESC LIMIT 1)
-SELECT s.doc_id, s.label, array_to_string(s.sig, ',') AS signature FROM s JOIN p ON s.sig = p.sig AND s.doc_id <> p.doc_id
- ORDER BY s.doc_id DESC LIMIT 50""")
+SELECT s.doc_id, s.label, array_to_string(s.sig, ',') AS signature, count(*) OVER () AS n_matches
+ FROM s JOIN p ON s.sig = p.sig AND s.doc_id <> p.doc_id""")
 def signature_cross_match(spark, folder):
-    """The 50 newest other items with the signature of the newest item."""
+    """All other items with the signature of the newest item, and their number."""
     vectors = table(spark, folder, "embeddings")
     coarse = F.transform(F.slice("embedding", 1, 3), lambda x: F.floor(x.cast("double") * 4).cast("int"))
     signed = vectors.select(F.col("vec_id").alias("doc_id"), "label", coarse.alias("signature"))
     probe = signed.orderBy(F.desc("doc_id")).limit(1).select("doc_id", "signature")
-    found = mt.same_signature(signed, probe).orderBy(F.desc("doc_id")).limit(50)
-    return found.select("doc_id", "label", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",")
+    found = mt.same_signature(signed, probe)
+    counts = found.groupBy("probe_id").agg(F.count(F.lit(1)).alias("n_matches"))
+    return join_reduced(found, counts, "probe_id").select("doc_id", "label", "n_matches", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",")
                         .alias("signature"))
 
 
@@ -120,7 +121,7 @@ ACTION = ("event_id, user_id AS doc_id, " + b.pick(ACTION_NAMES, f"(event_id % {
 def actions(spark, folder):
     listed = b.derived(spark, folder, "events", ACTION)
     known = spark.createDataFrame(list(ACTIONS.items()), "type string, severity string")
-    return mt.lookup(listed, "type", known.withColumn("listed", F.lit(True)),
+    return mt.lookup(listed, "type", F.broadcast(known.withColumn("listed", F.lit(True))),
                      {"severity": F.lit("LOW"), "listed": F.lit(False)})
 
 
@@ -177,7 +178,7 @@ SELECT doc_id, algorithm, CASE WHEN contains(algorithm, 'RC4 40-bit') THEN 'SCHW
 def cipher_lookup(spark, folder):
     ciphers = spark.createDataFrame(CIPHERS, "v int, r int, algorithm string")
     unknown = F.format_string("Unbekannt (V=%d, R=%d)", "v", "r")
-    found = mt.lookup(b.derived(spark, folder, "orders", CIPHER), ["v", "r"], ciphers, {"algorithm": unknown})
+    found = mt.lookup(b.derived(spark, folder, "orders", CIPHER), ["v", "r"], F.broadcast(ciphers), {"algorithm": unknown})
     name = F.col("algorithm")
     return found.select(
         "doc_id", "algorithm", F.coalesce(mt.first_match(name, STRENGTHS), F.lit("UNBEKANNT")).alias("strength"),

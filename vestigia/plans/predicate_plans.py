@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vestigia.operators import rulesets as rs
-from vestigia.operators.common import broadcast_if_small, emit, first_k, joined
+from vestigia.operators.common import emit, first_k, joined
 from vestigia.plans import bindings as b
 from vestigia.plans.bindings import META, OBJ
 from vestigia.plans.registry import query
@@ -22,7 +22,7 @@ def union_rules(source: str, key: str, rules: list[tuple[str, str, str]]) -> str
 
 
 def search(df: DataFrame, text: str | None = None, date_from: str | None = None, date_to: str | None = None,
-           columns: tuple[str, ...] = ("name", "md5", "sha256"), when: str = "created", limit: int = 200) -> DataFrame:
+           columns: tuple[str, ...] = ("name", "md5", "sha256"), when: str = "created", limit: int = 200, offset: int = 0) -> DataFrame:
     """Literal, case-insensitive substring in any of the columns and an inclusive date range; newest first.
     Only the given conditions become filters, so date bounds reach the scan."""
     if date_from:
@@ -34,7 +34,7 @@ def search(df: DataFrame, text: str | None = None, date_from: str | None = None,
         for c in columns:
             hit = hit | F.lower(F.col(c)).contains(text.lower())
         df = df.filter(hit)
-    return df.orderBy(F.desc(when), "doc_id").limit(min(limit, 200))
+    return df.orderBy(F.desc(when), "doc_id").offset(offset).limit(limit)
 
 
 @query("history_search", f"""WITH {META}, m AS (SELECT doc_id, name, md5(name) AS md5, sha256(name) AS sha256, created,
@@ -108,14 +108,14 @@ def preview_fields(spark, folder):
     return docs.select("doc_id", *[F.substring("text", 1, n).alias(c) for c, n in lengths.items()])
 
 
-@query("picker_filter", f"""WITH {META} SELECT doc_id, name FROM meta WHERE contains(lower(name), '9.pdf')
- AND doc_id NOT IN (SELECT doc_id FROM meta WHERE author = 8)""")
+@query("picker_filter", f"""WITH {META} SELECT doc_id, name FROM meta WHERE contains(lower(name), 'pdf')
+ AND doc_id NOT IN (SELECT doc_id FROM meta WHERE author % 8 = 0)""")
 def picker_filter(spark, folder):
     """Names containing the typed text, without the documents already chosen."""
     meta = b.doc_meta(spark, folder)
-    chosen = meta.filter("author = 8").select("doc_id")
-    hits = meta.filter(F.lower("name").contains("9.pdf")).select("doc_id", "name")
-    return hits.join(broadcast_if_small(chosen), "doc_id", "left_anti")
+    chosen = meta.filter("author % 8 = 0").select("doc_id")
+    hits = meta.filter(F.lower("name").contains("pdf")).select("doc_id", "name")
+    return hits.join(chosen, "doc_id", "left_anti")
 
 
 @query("hidden_flag_filter", """SELECT l_orderkey AS doc_id, count(*) AS n_annotations, count(*) FILTER

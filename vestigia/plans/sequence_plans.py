@@ -164,11 +164,11 @@ def neighbour_noise(spark, folder):
 
 
 @query("last_n_context", """SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn
- FROM conversations) WHERE rn <= 5 AND role IN ('user', 'assistant') AND text <> ''""")
+ FROM conversations) WHERE rn <= 10 AND role IN ('user', 'assistant') AND text <> ''""")
 def last_n_context(spark, folder):
-    """The last five entries of a conversation, and of these the user and assistant turns."""
+    """The last ten entries of a conversation, and of these the user and assistant turns."""
     keep = F.col("role").isin("user", "assistant") & (F.col("text") != "")
-    return sq.last_n_then_filter(table(spark, folder, "conversations"), "conv_id", "turn", 5, keep).select(
+    return sq.last_n_then_filter(table(spark, folder, "conversations"), "conv_id", "turn", 10, keep).select(
         "conv_id", "turn", "role")
 
 

@@ -67,19 +67,19 @@ def route_by_format(spark, folder):
     return routed.groupBy("route", "format").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("size_gate", "SELECT doc_id, size_bytes, CASE WHEN size_bytes > 4096 THEN 'too large: ' || size_bytes || "
-       "' > 4096 bytes' END AS error FROM (SELECT doc_id, strlen(text) AS size_bytes FROM documents)")
+@query("size_gate", f"SELECT doc_id, size_bytes, CASE WHEN size_bytes > {formats.MAX_SIZE_BYTES} THEN 'too large: ' || size_bytes || "
+       f"' > {formats.MAX_SIZE_BYTES} bytes' END AS error FROM (SELECT doc_id, strlen(text) AS size_bytes FROM documents)")
 def size_gate(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size_bytes"))
-    accepted, rejected = formats.size_gate(docs, "size_bytes", max_bytes=4096)
+    accepted, rejected = formats.size_gate(docs, "size_bytes")
     return stores.evolve(rejected, accepted)
 
 
-@query("batch_status", """SELECT source, count(*) AS total, count(*) FILTER (strlen(text) <= 4096) AS ok,
- count(*) FILTER (strlen(text) > 4096) AS errors FROM documents GROUP BY source""")
+@query("batch_status", f"""SELECT source, count(*) AS total, count(*) FILTER (strlen(text) <= {formats.MAX_SIZE_BYTES}) AS ok,
+ count(*) FILTER (strlen(text) > {formats.MAX_SIZE_BYTES}) AS errors FROM documents GROUP BY source""")
 def batch_status(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source", F.octet_length("text").alias("size_bytes"))
-    error = F.when(F.col("size_bytes") > 4096, F.format_string("too large: %d", "size_bytes"))
+    error = F.when(F.col("size_bytes") > formats.MAX_SIZE_BYTES, F.format_string("too large: %d", "size_bytes"))
     return stores.batch_totals(stores.batch_status(docs, "source", error), "source")
 
 

@@ -8,10 +8,11 @@ from vestigia.plans.bindings import EV, SEVERITY
 from vestigia.plans.network_plans import d_ips, d_mails, d_private, d_susp, d_urls
 from vestigia.plans.registry import query
 from vestigia.sources import stores
+from vestigia.sources.formats import MAX_SIZE_BYTES
 from vestigia.sources.tables import table
 from vestigia.streaming import flows
 
-LIMIT = 8192
+LIMIT = MAX_SIZE_BYTES
 
 
 def _stream(spark, folder, name):

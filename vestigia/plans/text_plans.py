@@ -147,6 +147,9 @@ MARK = ("page_id, CASE page_id % 5 WHEN 0 THEN 'xref 1 /Type /XRef' WHEN 1 THEN
         "|| html AS text")
 
 
+HEAD, WIDE = 512, 2048  # windows of the file header by definition of the format
+
+
 @query("header_markers", f"""WITH m AS (SELECT {MARK} FROM pages)
 SELECT page_id, CASE WHEN contains(text, 'xref') AND contains(text, '/Type /XRef') THEN 'hybrid' WHEN contains(text, '/Type /XRef') THEN 'stream' ELSE 'table' END AS index_type,
  NOT contains(substr(text, 1, 512), 'xref') AS stream_at_start, contains(substr(text, 1, 2048), 'xref') AND contains(substr(text, 1, 2048), '/XRef') AS hybrid_header,
@@ -156,7 +159,7 @@ def header_markers(spark, folder):
     """Index type from markers. The header tests look at the file header by definition (512 and 2048
     characters); the type test looks at the whole text."""
     t = F.col("text")
-    head, wide = F.substring(t, 1, 512), F.substring(t, 1, 2048)
+    head, wide = F.substring(t, 1, HEAD), F.substring(t, 1, WIDE)
     hybrid = t.contains("xref") & t.contains("/Type /XRef")
     return b.derived(spark, folder, "pages", MARK).select(
         "page_id", F.when(hybrid, "hybrid").when(t.contains("/Type /XRef"), "stream").otherwise("table").alias("index_type"),
@@ -225,11 +228,12 @@ STRINGS = "doc_id, text || CASE doc_id % 4 WHEN 0 THEN chr(10) || 'John Smith' |
  list_transform(regexp_extract_all(text, '[\\x20-\\x7e]{{4,}}'), lambda v: trim(v)) AS x FROM s)),
 k AS (SELECT doc_id, s, min(i) AS i FROM r WHERE (contains(s, chr(92)) AND length(s) > 8) OR (contains(s, '@') AND contains(s, '.')) OR
  regexp_matches(s, '^[A-Z][a-z]+ [A-Z][a-z]+$') OR contains(s, 'Microsoft') OR contains(s, 'Word') OR contains(s, 'Excel') GROUP BY ALL)
-SELECT doc_id, s AS string, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM k QUALIFY place <= 30""")
+SELECT doc_id, s AS string, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place, count(*) OVER (PARTITION BY doc_id) AS n_strings FROM k""")
 def printable_strings(spark, folder):
     texts = b.derived(spark, folder, "documents", STRINGS)
-    found = texts.select("doc_id", F.posexplode(tx.printable_strings(F.col("text"))).alias("i", "string"))
-    return found.select("doc_id", "string", (F.col("i") + 1).cast("long").alias("place"))
+    found = texts.select("doc_id", tx.printable_strings(F.col("text")).alias("s")).select(
+        "doc_id", F.size("s").cast("long").alias("n_strings"), F.posexplode_outer("s").alias("i", "string")).filter("i IS NOT NULL")
+    return found.select("doc_id", "string", (F.col("i") + 1).cast("long").alias("place"), "n_strings")
 
 
 REDACT = ("l_orderkey AS doc_id, l_linenumber AS page, l_partkey % 6 = 0 AS pending, repeat('0 0 0 rg 1 2 3 4 re f ', CAST(l_partkey % 3 AS INT)) || "

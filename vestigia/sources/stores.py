@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vestigia.operators.common import join_reduced
 from vestigia.session import checkpoint_folder
 
 
@@ -34,11 +35,11 @@ def upsert_column(base: DataFrame, updates: DataFrame, key: str, column: str) ->
 
 
 def delete_keys(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return base.join(keys.select(key).distinct(), key, "left_anti")
+    return join_reduced(base, keys.select(key).distinct(), key, "left_anti")
 
 
 def deleted_count(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    hit = base.join(keys.select(key).distinct(), key, "left_semi")
+    hit = join_reduced(base, keys.select(key).distinct(), key, "left_semi")
     return hit.agg(F.count(F.lit(1)).alias("deleted"))
 
 
