@@ -51,6 +51,9 @@ def _splitter() -> tuple[np.ndarray, np.ndarray]:
 
 FOLLOW, BEGINS = _splitter()
 _JUMP = bytes((FOLLOW * np.uint8(N_SYMBOLS)).tolist()).ljust(256, b"\0")  # states as row offsets
+# States that go on alike are one row of a chunk's map: a state's class, and a state of each class.
+_, _SAMPLES, CLASS = np.unique(FOLLOW.reshape(N_STATES, N_SYMBOLS), axis=0, return_index=True, return_inverse=True)
+CLASS = CLASS.ravel().astype(np.uint8)
 _BEGINS = bytes(BEGINS.tolist()).ljust(256, b"\0")
 
 
@@ -107,16 +110,19 @@ def split_points(symbol: np.ndarray) -> np.ndarray:
     steps = np.full(chunks * CHUNK, END, np.uint8)
     steps[:n] = symbol
     steps = np.ascontiguousarray(steps.reshape(chunks, CHUNK).T)
-    state = np.repeat(np.arange(N_STATES, dtype=np.uint8)[:, None] * np.uint8(N_SYMBOLS), chunks, 1)
+    state = np.repeat(_SAMPLES.astype(np.uint8)[:, None] * np.uint8(N_SYMBOLS), chunks, 1)
     for row in steps:
         state = _jumped(state + row)
-    maps = state.T // N_SYMBOLS  # chunk by state: where each state ends
+    ends = state.T // N_SYMBOLS  # chunk by class: the state where each ends
+    maps = CLASS[ends]
     reach = 1
     while reach < chunks:  # after this round, row i composes the maps of the last 2 * reach chunks
         maps[reach:] = np.take_along_axis(maps[reach:], maps[:-reach].astype(np.intp), 1)
         reach *= 2
+    begin = np.full(chunks, CLASS[FRESH])  # class of each chunk's first state
+    begin[1:] = maps[:-1, CLASS[FRESH]]
     state = np.zeros(chunks, np.uint8)
-    state[1:] = maps[:-1, FRESH] * np.uint8(N_SYMBOLS)
+    state[1:] = ends[np.arange(chunks - 1), begin[:-1]] * np.uint8(N_SYMBOLS)
     marks = np.empty((CHUNK, chunks), np.uint8)
     for j, row in enumerate(steps):
         at = state + row

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def worker_state(key: tuple, make: Callable):
+    """An object that stays in a worker process for its later tasks, such as a bounded cache. Results must not depend on it."""
+    kept = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def set_apart(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
     """`docs` with every column c renamed to `_in_c`, and the columns that give `docs` back: operators can then add columns of any
     name."""

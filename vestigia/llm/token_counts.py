@@ -1,7 +1,7 @@
 """Token counts of whole texts from the finite-state form of a tokenizer (see automata), without building the tokens.
 
 Texts of a batch are cut into chunks, the splitter's state maps are composed by a prefix scan over the chunks, and the
-counter's emissions are added up per text. Counts of up to CACHE pretokens are kept for the rest of the task.
+counter's emissions are added up per text. Counts of up to CACHE pretokens are kept in the worker.
 
 Rows: a null or empty text has 0 bytes and 0 tokens. Rows that repeat an id are counted each. Columns other than doc_id and text are
 ignored.
@@ -9,6 +9,7 @@ ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vestigia.llm import automata
-from vestigia.llm.common import table
+from vestigia.llm.common import table, worker_state
 from vestigia.llm.pieces import vocabulary
 from vestigia.llm.words import slices
 
@@ -55,7 +56,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         (automata.Counter(data), automata.char_classes(data), automata.special_tokens(data)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TextCounter(*shared.value)
+        counter = worker_state(("counts", zlib.crc32(data.encode())), lambda: TextCounter(*shared.value))
         for batch in batches:
             texts = pc.fill_null(batch["text"], "")
             counts = [counter.counts(texts[a:b].to_pylist()) for a, b in slices(texts)]
