@@ -52,11 +52,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """`doc_id, n_bytes, n_tokens, over_limit` for each row of `docs(doc_id, text)`."""
     with open(path, encoding="utf-8") as f:
         data = f.read()
+    key = ("counts", zlib.crc32(data.encode()))
     shared = docs.sparkSession.sparkContext.broadcast(
         (automata.Counter(data), automata.char_classes(data), automata.special_tokens(data)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = worker_state(("counts", zlib.crc32(data.encode())), lambda: TextCounter(*shared.value))
+        counter = worker_state(key, lambda: TextCounter(*shared.value))
         for batch in batches:
             texts = pc.fill_null(batch["text"], "")
             counts = [counter.counts(texts[a:b].to_pylist()) for a, b in slices(texts)]
