@@ -7,6 +7,8 @@ millions of rows is never collected into one group.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from vestigia.operators.common import first_k, join_reduced
 MIN_DOCUMENTS = 2
 MAX_DOCUMENTS = 4
 TIME_WINDOW_SECONDS = 300
+# Severity of each kind of match between two documents of a set.
+PAIR_SEVERITIES = {"identical_content": "HIGH", "created_close": "MEDIUM", "same_producer": "INFO", "shared_ids": "HIGH"}
 
 
 def set_sizes(members: DataFrame, set_col: str = "comparison_id") -> DataFrame:
@@ -84,6 +88,13 @@ def equal_value_pairs(members: DataFrame, column: str, out: str, key: str = "doc
                        F.col(f"a.{column}").alias(out))
 
 
+def pair_findings(found: dict[str, DataFrame]) -> DataFrame:
+    """Findings `(comparison_id, doc_a, doc_b, code, severity)` from the pairs of each kind."""
+    parts = [df.select("comparison_id", "doc_a", "doc_b", F.lit(code).alias("code"), F.lit(PAIR_SEVERITIES[code]).alias("severity"))
+             for code, df in found.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def shared_id_pairs(members: DataFrame, ids: DataFrame, show: int = 5, key: str = "doc_id",
                     id_col: str = "id") -> DataFrame:
     """Pairs of a set that share embedded ids: how many, and the first few. Ids are grouped per set, so

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vestigia.operators.common import count_where, first_k, rank_to_risk, rule, severity_rank
@@ -49,18 +52,24 @@ def correlation_rules() -> list[Column]:
 
 def creator_profile(documents: DataFrame, authors: DataFrame, prefixes: DataFrame, devices: DataFrame,
                     zones: DataFrame) -> DataFrame:
-    """Who made a document: tool, author, up to three further authors, five prefixes, three devices, region
-    and offsets, with a confidence from the number of known facts."""
-    def few(df: DataFrame, column: str, k: int, out: str) -> DataFrame:
-        distinct = df.select("doc_id", column).filter(F.col(column).isNotNull()).distinct()
-        return first_k(distinct, ["doc_id"], [F.col(column)], column, k, out)
-
-    joined = (
-        documents.join(few(authors, "author_name", 3, "further_authors"), "doc_id", "left")
-        .join(few(prefixes, "prefix", 5, "prefixes"), "doc_id", "left")
-        .join(few(devices, "device", 3, "devices"), "doc_id", "left")
-        .join(zones, "doc_id", "left")
-    )
+    """Who made a document: tool, author, the first three further authors, five prefixes and three devices with the number of
+    all of them, region and offsets, with a confidence from the number of known facts. The lists are one long table, made
+    distinct, limited and gathered once."""
+    shown = {"further_authors": (authors, "author_name", 3), "prefixes": (prefixes, "prefix", 5), "devices": (devices, "device", 3)}
+    parts = [df.select("doc_id", F.lit(out).alias("_kind"), F.col(c).cast("string").alias("_text"),
+                       (F.lit(None) if dict(df.dtypes)[c] == "string" else F.col(c)).cast("long").alias("_number"))
+             .filter(F.col(c).isNotNull()) for out, (df, c, _) in shown.items()]
+    distinct = reduce(DataFrame.unionByName, parts).distinct()
+    w = W.partitionBy("doc_id", "_kind").orderBy("_number", "_text")
+    most = max(k for _, _, k in shown.values())
+    first = distinct.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most)
+    of = lambda out: F.col("_kind") == out
+    lists = first.groupBy("doc_id").agg(*[F.transform(F.array_sort(F.collect_list(
+        F.when(of(out) & (F.col("_rn") <= k), F.struct("_rn", "_text")))), lambda s: s["_text"]).alias(out) for out, (_, _, k) in shown.items()])
+    counts = distinct.groupBy("doc_id").agg(*[count_where(of(out)).alias(f"n_{out}") for out in shown])
+    joined = documents.join(lists, "doc_id", "left").join(counts, "doc_id", "left").join(zones, "doc_id", "left")
+    joined = joined.withColumns({f"n_{out}": F.coalesce(f"n_{out}", F.lit(0)) for out in shown} | {
+        out: F.when(F.size(out) > 0, F.col(out)) for out in shown})
 
     def known(test: Column) -> Column:
         return F.when(F.coalesce(test, F.lit(False)), 1).otherwise(0)

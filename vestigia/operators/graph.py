@@ -22,7 +22,6 @@ NODE_TYPES = {
     "/OutputIntents": "OutputIntent", "/FontDescriptor": "FontDescriptor",
 }
 DEEP_NESTING = 20
-NAME_TREE_DEPTH = 5
 
 
 def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -78,20 +77,22 @@ def node_type(key: Column) -> Column:
     return F.coalesce(*[F.when(key == k, v) for k, v in NODE_TYPES.items()], F.lit("Object"))
 
 
-def tree_flatten(edges: DataFrame, roots: DataFrame, max_depth: int = NAME_TREE_DEPTH) -> DataFrame:
-    """Leaves with their path from the root, at most `max_depth` levels down."""
+def tree_flatten(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Leaves with their path from the root, however deep, or down to `max_depth` levels. A node is not entered again on its
+    own path, so a cycle ends where it closes."""
     level = roots.select("doc_id", "node").withColumns({"path": F.col("node"), "depth": F.lit(0)})
     leaves = []
     children = edges.select("doc_id", F.col("src").alias("node"), F.col("dst").alias("_child"))
-    for _ in range(max_depth + 1):
-        step = cut_lineage(level.join(children, ["doc_id", "node"], "left"))
-        leaves.append(step.filter("_child IS NULL").select("doc_id", "node", "path", "depth"))
-        level = step.filter("_child IS NOT NULL").select(
-            "doc_id", F.col("_child").alias("node"), F.concat_ws("/", "path", "_child").alias("path"), F.col("depth") + 1)
-        level = level.toDF("doc_id", "node", "path", "depth")
+    parents = children.select("doc_id", "node").distinct()
+    while max_depth is None or len(leaves) <= max_depth:
+        level = cut_lineage(level)
         if level.isEmpty():
             break
-    return reduce(DataFrame.unionByName, leaves).filter(F.col("depth") <= max_depth)
+        leaves.append(join_reduced(level, parents, ["doc_id", "node"], "left_anti"))
+        entered = F.contains(F.concat(F.lit("/"), "path", F.lit("/")), F.concat(F.lit("/"), "_child", F.lit("/")))
+        level = level.join(children, ["doc_id", "node"]).filter(~entered).select(
+            "doc_id", F.col("_child").alias("node"), F.concat_ws("/", "path", "_child").alias("path"), (F.col("depth") + 1).alias("depth"))
+    return reduce(DataFrame.unionByName, leaves) if leaves else level
 
 
 def connected_groups(links: DataFrame, max_rounds: int = 60) -> DataFrame:

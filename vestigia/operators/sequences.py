@@ -94,15 +94,22 @@ def timeline(sources: Sequence[DataFrame], keys: Sequence[str] = ("doc_id",)) ->
 
 
 def block_outliers(df: DataFrame, key: str, block: str, value: str) -> DataFrame:
-    """Hot blocks per document: mean above 2.5 times the overall mean and above 15."""
-    blocks = df.groupBy(key, block).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"),
+    """Hot blocks per document: mean above 2.5 times the overall mean and above 15. Means are exact: sums run over whole
+    millionths, and the quotient is rounded once, to four decimals."""
+    units = F.round(F.col(value) * 1_000_000).cast("decimal(20,0)")
+    blocks = df.groupBy(key, block).agg(F.sum(units).alias("_s"), F.count(value).alias("_n"),
                                         F.sum(F.col(value) * F.col(value)).alias("_q"))
+
+    def mean(total: str, n: str) -> Column:
+        return F.expr(f"(2 * {total} + 100 * {n}) div (200 * {n})") / 10_000
+
     total = blocks.groupBy(key).agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"), F.sum("_q").alias("_tq"))
-    joined = blocks.join(total, key)
+    joined = join_reduced(blocks, total, key)
+    exact = F.col("_ts").cast("double") / F.col("_tn") / 1_000_000
+    hot = F.expr("2 * _s * _tn > 5 * _ts * _n AND _s > 15000000 * _n")
     return joined.select(
-        key, block, (F.col("_s") / F.col("_n")).alias("block_mean"), (F.col("_ts") / F.col("_tn")).alias("overall_mean"),
-        F.sqrt(F.greatest(F.lit(0.0), F.col("_tq") / F.col("_tn") - F.pow(F.col("_ts") / F.col("_tn"), 2))).alias("overall_std"),
-    ).withColumn("hot", (F.col("block_mean") > 2.5 * F.col("overall_mean")) & (F.col("block_mean") > 15))
+        key, block, mean("_s", "_n").alias("block_mean"), mean("_ts", "_tn").alias("overall_mean"),
+        F.sqrt(F.greatest(F.lit(0.0), F.col("_tq") / F.col("_tn") - F.pow(exact, 2))).alias("overall_std"), hot.alias("hot"))
 
 
 def outlier_verdict(blocks: DataFrame, key: str) -> DataFrame:

@@ -51,12 +51,13 @@ def with_shingles(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def sign_digest(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Fixed-length similarity digest: the majority of each hash bit over the shingles of a document. Null
+    """Fixed-length similarity digest: the majority of each of 64 bits of the MD5 over the shingles of a document. Null
     for texts that are too small or too uniform. Shingles are reduced by partial aggregation."""
     hashed = with_shingles(df.select(key, text), text, "_s").select(key, F.explode_outer("_s").alias("_s")).select(
-        key, F.when(F.col("_s").isNotNull(), F.xxhash64("_s")).alias("_h"))
-    bits = [F.sum(F.when(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)).alias(f"_b{i}") for i in range(64)]
-    signed = hashed.groupBy(key).agg(F.count("_h").alias("n_shingles"), *bits)
+        key, F.md5("_s").alias("_m")).select(
+        key, *[F.conv(F.substring("_m", 1 + 8 * half, 8), 16, 10).cast("long").alias(f"_h{1 - half}") for half in (0, 1)])
+    bits = [F.sum(F.when(F.shiftright(f"_h{i // 32}", i % 32).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)).alias(f"_b{i}") for i in range(64)]
+    signed = hashed.groupBy(key).agg(F.count("_h0").alias("n_shingles"), *bits)
     digest = F.concat(*[F.when(F.col(f"_b{i}") > 0, "1").otherwise("0") for i in reversed(range(64))])
     enough = F.col("n_shingles") >= MIN_SHINGLES
     return signed.select(key, "n_shingles", F.when(enough, F.lower(F.lpad(F.conv(digest, 2, 16), 16, "0"))).alias("signature"))

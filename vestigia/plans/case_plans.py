@@ -62,8 +62,9 @@ ZONE_MIN = "CASE author % 6 WHEN 0 THEN NULL WHEN 1 THEN 60 WHEN 2 THEN -300 WHE
 a AS (SELECT doc_id, string_agg(v, ',' ORDER BY v) AS further_authors FROM (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY v) AS rn FROM (SELECT DISTINCT doc_id, 'dev' || device AS v FROM obj WHERE type = 'A')) WHERE rn <= 3 GROUP BY 1),
 p AS (SELECT doc_id, string_agg(v, ',' ORDER BY v) AS prefixes FROM (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY v) AS rn FROM (SELECT DISTINCT doc_id, part AS v FROM obj WHERE type = 'R')) WHERE rn <= 5 GROUP BY 1),
 d AS (SELECT doc_id, string_agg(v, ',' ORDER BY v) AS devices FROM (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY v) AS rn FROM (SELECT DISTINCT doc_id, device AS v FROM obj)) WHERE rn <= 3 GROUP BY 1),
+nl AS (SELECT doc_id, count(DISTINCT device) FILTER (type = 'A') AS n_further_authors, count(DISTINCT part) FILTER (type = 'R') AS n_prefixes, count(DISTINCT device) AS n_devices FROM obj GROUP BY 1),
 m AS (SELECT doc_id, {TOOL} AS tool, CASE WHEN author % 4 > 0 THEN author END AS author, {ZONE_MIN} AS o FROM meta),
-j AS (SELECT doc_id, tool, author, further_authors, prefixes, devices, region, o AS offset_min FROM m LEFT JOIN a USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN d USING (doc_id) LEFT JOIN rg USING (o)),
+j AS (SELECT doc_id, tool, author, further_authors, prefixes, devices, region, o AS offset_min, coalesce(n_further_authors, 0) AS n_further_authors, coalesce(n_prefixes, 0) AS n_prefixes, coalesce(n_devices, 0) AS n_devices FROM m LEFT JOIN nl USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN d USING (doc_id) LEFT JOIN rg USING (o)),
 k AS (SELECT *, CAST(tool IS NOT NULL AS INT) + CAST(author IS NOT NULL AS INT) + CAST(region IS NOT NULL AS INT) + CAST(prefixes IS NOT NULL AS INT) AS known_facts FROM j)
 SELECT *, CASE WHEN known_facts >= 3 THEN 'high' WHEN known_facts >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM k""")
 def creator_profile(spark, folder):
@@ -77,7 +78,7 @@ def creator_profile(spark, folder):
         items.filter("type = 'R'").select("doc_id", F.col("part").alias("prefix")), items.select("doc_id", "device"), zones)
     lists = {c: joined(F.col(c)) for c in ("further_authors", "prefixes", "devices")}
     return profile.withColumns(lists).select("doc_id", "tool", "author", "further_authors", "prefixes", "devices", "region",
-                                             "offset_min", "known_facts", "confidence")
+                                             "offset_min", "n_further_authors", "n_prefixes", "n_devices", "known_facts", "confidence")
 
 
 def artifacts(spark, folder):

@@ -9,7 +9,7 @@ from vestigia.operators.common import join_reduced, joined
 from vestigia.operators.matching import known_tool
 from vestigia.plans import bindings as b
 from vestigia.plans.bindings import EV, META, OBJ
-from vestigia.plans.registry import query
+from vestigia.plans.registry import ORACLES, QUERIES, query
 from vestigia.sources import stores
 from vestigia.sources.tables import table
 
@@ -40,6 +40,13 @@ def identical_pairs(spark, folder):
     return cmp.identical_pairs(members)
 
 
+@query("comparison_status", f"""WITH {META}, s AS (SELECT author AS comparison_id, count(*) AS n_documents FROM meta GROUP BY 1)
+SELECT *, CASE WHEN n_documents < 2 THEN 'at least 2 documents needed' WHEN n_documents > 4 THEN 'at most 4 documents allowed' END AS error FROM s""")
+def comparison_status(spark, folder):
+    """Every requested set with its size, and why it is not compared: here the documents of one author."""
+    return cmp.set_sizes(b.doc_meta(spark, folder).withColumn("comparison_id", F.col("author")))
+
+
 @query("identical_groups", """WITH h AS (SELECT doc_id, sha256(text) AS sha256 FROM documents),
 g AS (SELECT sha256, min(doc_id) AS first_doc, count(*) AS n_docs FROM h GROUP BY 1 HAVING count(*) > 1)
 SELECT doc_id, first_doc, n_docs, CAST(n_docs * (n_docs - 1) // 2 AS BIGINT) AS n_pairs FROM h JOIN g USING (sha256)""")
@@ -95,6 +102,21 @@ def shared_id_clusters(spark, folder):
     return found.withColumn("shared", joined(F.col("shared")))
 
 
+def _found_sql(name: str, code: str) -> str:
+    severity = cmp.PAIR_SEVERITIES[code]
+    return f"SELECT comparison_id, doc_a, doc_b, '{code}' AS code, '{severity}' AS severity FROM ({ORACLES[name]})"
+
+
+PAIR_QUERIES = {"identical_content": "identical_pairs", "created_close": "time_proximity_pairs", "same_producer": "same_producer_pairs",
+                "shared_ids": "shared_id_clusters"}
+
+
+@query("comparison_findings", " UNION ALL ".join(_found_sql(name, code) for code, name in PAIR_QUERIES.items()))
+def comparison_findings(spark, folder):
+    """What the comparisons of all sets found, one finding a pair and reason."""
+    return cmp.pair_findings({code: QUERIES[name](spark, folder) for code, name in PAIR_QUERIES.items()})
+
+
 EVDOC = f"{EV}, vis AS (SELECT DISTINCT doc_id, CAST(floor(doc_id / 3) AS BIGINT) AS comparison_id FROM ev)"
 
 

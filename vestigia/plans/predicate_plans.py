@@ -81,22 +81,25 @@ FACTS = f"""{META}, {OBJ}, facts AS (SELECT doc_id, max(modified) AS modified, c
 
 @query("doc_card", f"""WITH {FACTS}, ids AS (SELECT doc_id, string_agg(part, ',' ORDER BY part) AS ids FROM
  (SELECT doc_id, part, row_number() OVER (PARTITION BY doc_id ORDER BY part) AS rn FROM (SELECT DISTINCT doc_id, part
- FROM obj)) WHERE rn <= 10 GROUP BY doc_id)
+ FROM obj)) WHERE rn <= 10 GROUP BY doc_id), n_ids AS (SELECT doc_id, count(DISTINCT part) AS n_ids FROM obj GROUP BY 1)
 SELECT doc_id, name, sha256(name) AS sha256, risk_level, producer, creator, strftime(created, '%Y-%m-%d') AS created,
  strftime(modified, '%Y-%m-%d') AS modified, coalesce(page_count, 0) AS page_count,
- coalesce(image_count, 0) AS image_count, n_high, n_medium, has_script, encrypted, revisions, coalesce(ids, '') AS ids
- FROM doc LEFT JOIN ids USING (doc_id)""")
+ coalesce(image_count, 0) AS image_count, n_high, n_medium, has_script, encrypted, revisions, coalesce(ids, '') AS ids,
+ coalesce(n_ids, 0) AS n_ids, CAST(CAST(doc.created AS DATE) + CAST(doc_id % 30 AS INT) AS VARCHAR) AS analyzed_at
+ FROM doc LEFT JOIN ids USING (doc_id) LEFT JOIN n_ids USING (doc_id)""")
 def doc_card(spark, folder):
     items = b.objects(spark, folder).select("doc_id", "part").distinct()
     ids = first_k(items, ["doc_id"], [F.col("part")], "part", 10, "ids")
-    card = with_object_facts(spark, folder).join(ids, "doc_id", "left")
+    n_ids = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_ids"))
+    card = with_object_facts(spark, folder).join(ids, "doc_id", "left").join(n_ids, "doc_id", "left")
     return card.select(
         "doc_id", "name", F.sha2("name", 256).alias("sha256"), "risk_level", "producer", "creator",
         F.date_format("created", "yyyy-MM-dd").alias("created"),
         F.date_format("modified", "yyyy-MM-dd").alias("modified"),
         F.coalesce("page_count", F.lit(0)).alias("page_count"), F.coalesce("image_count", F.lit(0)).alias("image_count"),
         "n_high", "n_medium", "has_script", "encrypted", "revisions",
-        F.coalesce(joined(F.col("ids")), F.lit("")).alias("ids"),
+        F.coalesce(joined(F.col("ids")), F.lit("")).alias("ids"), F.coalesce("n_ids", F.lit(0)).alias("n_ids"),
+        F.date_add(F.to_date("created"), (F.col("doc_id") % 30).cast("int")).cast("string").alias("analyzed_at"),
     )
 
 

@@ -120,9 +120,11 @@ def union_timeline(spark, folder):
         F.count(F.lit(1)).alias("n"), F.count("ts").alias("n_dated"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-BLOCKS = f"""WITH {EV}, bl AS (SELECT doc_id, CAST(ts AS DATE) AS block, avg(score) AS m FROM ev GROUP BY ALL),
-al AS (SELECT doc_id, avg(score) AS am, stddev_pop(score) AS sd FROM ev GROUP BY 1),
-h AS (SELECT doc_id, block, m, am, sd, m > 2.5 * am AND m > 15 AS hot FROM bl JOIN al USING (doc_id))"""
+BLOCKS = f"""WITH {EV}, us AS (SELECT doc_id, ts, score, CAST(round(score * 1000000) AS HUGEINT) AS u FROM ev),
+bl AS (SELECT doc_id, CAST(ts AS DATE) AS block, sum(u) AS s, count(*) AS n FROM us GROUP BY ALL),
+al AS (SELECT doc_id, sum(u) AS ts, count(*) AS tn, stddev_pop(score) AS sd FROM us GROUP BY 1),
+h AS (SELECT doc_id, block, ((2 * s + 100 * n) // (200 * n)) / 10000.0 AS m, ((2 * ts + 100 * tn) // (200 * tn)) / 10000.0 AS am, sd,
+ 2 * s * tn > 5 * ts * n AND s > 15000000 * n AS hot FROM bl JOIN al USING (doc_id))"""
 
 
 def _blocks(spark, folder):

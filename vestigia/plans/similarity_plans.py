@@ -67,9 +67,14 @@ def near_duplicates(spark, folder):
     return sm.exact_resemblance(members, "text")
 
 
-@query("fuzzy_signature")
+BITS = " + ".join(f"CASE WHEN sum(CASE WHEN (h >> {i}) & 1 = 1 THEN 1 ELSE -1 END) > 0 THEN {1 << i}::UBIGINT ELSE 0::UBIGINT END" for i in range(64))
+
+
+@query("fuzzy_signature", f"""WITH {SH}, x AS (SELECT doc_id, ('0x' || substr(md5(g), 1, 16))::UBIGINT AS h FROM (SELECT doc_id, unnest(s) AS g FROM sh)),
+c AS (SELECT doc_id, count(*) AS n, {BITS} AS v FROM x GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n >= {sm.MIN_SHINGLES} THEN lower(lpad(to_hex(v), 16, '0')) END AS signature FROM sh LEFT JOIN c USING (doc_id)""")
 def fuzzy_signature(spark, folder):
-    """Fixed-length similarity digest per document; uses a hash the SQL side lacks."""
+    """Fixed-length similarity digest per document."""
     return sm.sign_digest(table(spark, folder, "documents"), "doc_id", "text")
 
 

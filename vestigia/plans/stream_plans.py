@@ -49,30 +49,39 @@ def dedup_stream(spark, folder):
     return _result(spark, flows.once_per_digest(hashed, "digest", "ts", "60 days").select("digest"), "dedup")
 
 
-CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+def _complete(spark, folder, flow, name):
+    """All windows of the flow, the newest included: the events first, then a closing row two days after the last one."""
+    events, path = _events(spark, folder), stores.new_folder(spark, name)
+    last = table(spark, folder, "events").agg(F.max("ts").cast("timestamp").alias("ts"))
+    row = last.select(*[(F.col("ts") + F.expr("INTERVAL 2 DAYS") if c == "ts" else F.lit(None).cast(t)).alias(c) for c, t in events.dtypes])
+    spark.createDataFrame([], events.schema).write.parquet(f"{path}/closing")
+    stream = flow(flows.closing(events, f"{path}/closing"))
+    flows.run_to_files(stream, f"{path}/data", f"{path}/state")
+    row.write.mode("append").parquet(f"{path}/closing")
+    flows.run_to_files(flow(flows.closing(_events(spark, folder), f"{path}/closing")), f"{path}/data", f"{path}/state")
+    return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
 @query("severity_windows", f"""WITH {EV}, w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, severity FROM ev)
 SELECT strftime(s, '%Y-%m-%d %H:%M') AS window_start, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low
- FROM w WHERE s + INTERVAL 1 HOUR <= {CLOSED} GROUP BY s""")
+ FROM w GROUP BY s""")
 def severity_windows(spark, folder):
-    """Closed hourly windows; the newest ones wait for the watermark."""
-    done = _result(spark, flows.severity_windows(_events(spark, folder), "ts", "10 minutes"), "windows")
+    """Hourly windows."""
+    done = _complete(spark, folder, lambda s: flows.severity_windows(s, "ts", "10 minutes"), "windows")
     return done.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "high", "medium", "low")
 
 
 @query("sliding_windows", f"""WITH {EV}, w AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * o AS s, severity FROM ev, (VALUES (0), (1), (2), (3)) t(o))
 SELECT strftime(s, '%Y-%m-%d %H:%M') AS window_start, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low
- FROM w WHERE s + INTERVAL 1 HOUR <= {CLOSED} GROUP BY s""")
+ FROM w GROUP BY s""")
 def sliding_windows(spark, folder):
-    done = _result(spark, flows.severity_windows(_events(spark, folder), "ts", "10 minutes", "1 hour", "15 minutes"), "sliding")
+    done = _complete(spark, folder, lambda s: flows.severity_windows(s, "ts", "10 minutes", "1 hour", "15 minutes"), "sliding")
     return done.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "high", "medium", "low")
 
 
 @query("actor_sessions", f"""WITH {EV}, g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY doc_id ORDER BY ts, finding_id) + INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS b FROM ev),
 s AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY ts, finding_id) AS sid FROM g)
-SELECT doc_id AS user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 300000000 AS end_us, count(*) AS n_events, count(*) FILTER (severity = 'HIGH') AS high FROM s GROUP BY doc_id, sid
- HAVING max(ts) + INTERVAL 5 MINUTE <= {CLOSED}""")
+SELECT doc_id AS user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 300000000 AS end_us, count(*) AS n_events, count(*) FILTER (severity = 'HIGH') AS high FROM s GROUP BY doc_id, sid""")
 def actor_sessions(spark, folder):
-    done = _result(spark, flows.actor_sessions(_events(spark, folder), "user_id", "ts", "10 minutes"), "sessions")
+    done = _complete(spark, folder, lambda s: flows.actor_sessions(s, "user_id", "ts", "10 minutes"), "sessions")
     return done.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n_events", "high")

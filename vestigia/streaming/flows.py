@@ -24,6 +24,12 @@ def arriving(spark: SparkSession, folder: str, pattern: str, schema: StructType,
     return reader.parquet(folder)
 
 
+def closing(stream: DataFrame, folder: str) -> DataFrame:
+    """The stream and what arrives in `folder`: a last row with a late time there moves the watermark past all data, so that every
+    window and session is closed and written."""
+    return stream.unionByName(stream.sparkSession.readStream.schema(stream.schema).parquet(folder))
+
+
 def analysed(stream: DataFrame, text: str, max_bytes: int) -> DataFrame:
     """Status, indicator counts and risk per item; too large items are kept with an error and no analysis."""
     sized = stream.withColumn("size_bytes", F.octet_length(text).cast("long"))
@@ -49,7 +55,9 @@ def severity_windows(stream: DataFrame, ts: str, lateness: str, size: str = "1 h
 
 
 def actor_sessions(stream: DataFrame, actor: str, ts: str, lateness: str, gap: str = SESSION_GAP) -> DataFrame:
-    """Bursts of one actor: no pause as long as the gap."""
+    """Bursts of one actor: no pause as long as the gap. Sessions are merged within each task before the shuffle, so that a busy
+    actor sends few rows."""
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     sessions = stream.withWatermark(ts, lateness).groupBy(actor, F.session_window(ts, gap).alias("w")).agg(
         F.count(F.lit(1)).alias("n_events"), count_where(F.col("severity") == "HIGH").alias("high"))
     return sessions.select(actor, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events", "high")
