@@ -17,7 +17,7 @@ HEADLINE = [
     "severity_rollup", "metadata_date_rules", "timeline", "severity_order", "neighbour_noise", "identical_groups",
     "shared_id_clusters", "known_tool_lookup", "offset_consistency", "objects_after_range", "revision_diff",
     "duplicate_blocks", "correlate_findings", "evidence_digest", "graph_bfs", "value_pair_chi_square",
-    "severity_windows",
+    "severity_windows", "near_duplicates", "creator_profile", "modal_value", "signature_clusters",
 ]
 
 

@@ -14,10 +14,10 @@ ID_GAP_SECONDS = 3600
 CREATION_GAP_HOURS = 48
 
 
-def id_time_facts(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """Largest distance between a document's creation and its id times. The ids of a document are reduced
-    to their first and last time before they meet the document."""
-    span = ids.groupBy("doc_id").agg(F.min("id_time").alias("_first"), F.max("id_time").alias("_last"))
+def id_time_facts(documents: DataFrame, ids: DataFrame, *more: Column) -> DataFrame:
+    """Largest distance between a document's creation and its id times. The ids of a document are reduced to their first and
+    last time, and to `more` aggregates, before they meet the document."""
+    span = ids.groupBy("doc_id").agg(F.min("id_time").alias("_first"), F.max("id_time").alias("_last"), *more)
     joined = documents.join(span, "doc_id", "left")
     created = F.unix_micros(F.col("created").cast("timestamp"))
     first = F.unix_micros(F.col("_first").cast("timestamp"))

@@ -27,6 +27,7 @@ DEEP_NESTING = 20
 def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Nodes `(doc_id, node, depth)` reachable from the roots, with the smallest depth. Each node enters
     the frontier once, so a graph with cycles ends; the work of a round follows the frontier."""
+    edges = cut_lineage(edges.select("doc_id", "src", "dst"))  # once, not in every round
     frontier = cut_lineage(roots.select("doc_id", "node").distinct().withColumn("depth", F.lit(0)))
     layers = [frontier]
     depth = 0

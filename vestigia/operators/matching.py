@@ -104,8 +104,9 @@ def version_hint(text: Column) -> Column:
 
 def known_tool(df: DataFrame, producer: str = "producer", creator: str = "creator") -> DataFrame:
     """Tool, category and version from the producer, else from the creator, else the raw value."""
-    from_producer = first_match(F.col(producer), KNOWN_PRODUCERS)
-    from_creator = first_match(F.col(creator), KNOWN_PRODUCERS)
+    # The tools become columns of their own first, so that each side is searched once and not once for each result.
+    df = df.withColumns({"_tp": first_match(F.col(producer), KNOWN_PRODUCERS), "_tc": first_match(F.col(creator), KNOWN_PRODUCERS)})
+    from_producer, from_creator = F.col("_tp"), F.col("_tc")
     raw = F.coalesce(F.when(F.col(producer) != "", F.col(producer)), F.when(F.col(creator) != "", F.col(creator)))
     known = F.coalesce(from_producer, from_creator)
     return df.withColumns({
@@ -114,7 +115,7 @@ def known_tool(df: DataFrame, producer: str = "producer", creator: str = "creato
         "version": F.when(from_producer.isNotNull(), version_hint(F.col(producer)))
         .when(from_creator.isNotNull(), version_hint(F.col(creator))),
         "tool_severity": F.when(known.isNotNull(), F.lit(None)).when(raw.isNotNull(), "INFO").otherwise("LOW"),
-    })
+    }).drop("_tp", "_tc")
 
 
 def tool_mismatch_rule(producer: str = "producer", creator: str = "creator") -> Column:

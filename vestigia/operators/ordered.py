@@ -32,13 +32,22 @@ def _across(keys: Sequence[str]):
     return W.partitionBy(*keys).orderBy(CHUNK)
 
 
+def _with_chunk(df: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join on keys and chunk; rows with a null key or chunk are kept."""
+    names = [*keys, CHUNK]
+    renamed = carried.withColumnsRenamed({k: f"_c_{k}" for k in names})
+    same = [df[k].eqNullSafe(renamed[f"_c_{k}"]) for k in names]
+    return df.join(renamed, same).drop(*[f"_c_{k}" for k in names])
+
+
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rn") -> DataFrame:
-    sizes = df.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    local = df.withColumn("_local", F.row_number().over(_inside(keys, order)))
+    # The size of a chunk is its last number, so the same exchange serves both sides of the join.
+    sizes = local.groupBy(*keys, CHUNK).agg(F.max("_local").alias("_n"))
     before = F.sum("_n").over(_across(keys).rowsBetween(W.unboundedPreceding, -1))
     offsets = sizes.select(*keys, CHUNK, F.coalesce(before, F.lit(0)).alias("_offset"))
-    local = df.withColumn("_local", F.row_number().over(_inside(keys, order)))
     return (
-        local.join(offsets, [*keys, CHUNK])
+        _with_chunk(local, offsets, keys)
         .withColumn(out, (F.col("_local") + F.col("_offset")).cast("long"))
         .drop("_local", "_offset")
     )
@@ -62,8 +71,7 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value:
     tails = df.groupBy(*keys, CHUNK).agg(F.max_by(value, F.struct(*order)).alias("_tail"))
     carried = tails.select(*keys, CHUNK, F.lag("_tail").over(_across(keys)).alias("_carry"))
     return (
-        df.withColumn("_lag", F.lag(value).over(_inside(keys, order)))
-        .join(carried, [*keys, CHUNK])
+        _with_chunk(df.withColumn("_lag", F.lag(value).over(_inside(keys, order))), carried, keys)
         .withColumn(out, F.coalesce("_lag", "_carry"))
         .drop("_lag", "_carry")
     )

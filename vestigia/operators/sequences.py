@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -82,12 +83,14 @@ def duplicate_to_earliest(parts: DataFrame, keys: Sequence[str], pos: str, diges
     return join_reduced(parts, first.filter("_n > 1"), [*keys, digest]).filter(F.col(pos) > F.col("first_pos")).drop("_n")
 
 
+def united(sources: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, sources)
+
+
 def timeline(sources: Sequence[DataFrame], keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Union of dated events with their place per document; unknown times come first. Months are the
     chunks of the order, so a document with very many events is numbered in parallel."""
-    union = sources[0]
-    for more in sources[1:]:
-        union = union.unionByName(more)
+    union = united(sources)
     chunk = F.coalesce(F.date_trunc("MONTH", F.col("ts").cast("timestamp")), F.lit("0001-01-01").cast("timestamp"))
     order = [F.col("ts").asc_nulls_first(), F.col("source"), F.col("detail")]
     return ordered.row_numbers(union.withColumn(ordered.CHUNK, chunk), list(keys), order, "place").drop(ordered.CHUNK)
@@ -130,24 +133,23 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
 
 
 GRID_TOLERANCE = 8
-GRID_POINTS = 10
 GRID_MIN_POINTS = 6
 
 
-def regular_spacing(df: DataFrame, key: str, position: str, tie: str) -> DataFrame:
-    """Even spacing of the first ten points: gaps above 2, the upper median, at least half within ±8."""
+def regular_spacing(df: DataFrame, key: str, position: str, tie: str, points: int | None = None, chunk: float = 100.0) -> DataFrame:
+    """Even spacing of all points, or of the first `points`: gaps above 2, the upper median, at least half within ±8. Gaps are
+    taken inside chunks of the position and carried over their borders, so a key with very many points is read in parallel."""
     n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_points")).filter(F.col("n_points") >= GRID_MIN_POINTS)
-    first = top_per_group(df.select(key, position, tie), [key], [F.col(position), F.col(tie)], GRID_POINTS, "_i")
-    lists = first.groupBy(key).agg(F.array_sort(F.collect_list(F.col(position).cast("double"))).alias("_p"))
-    gaps = F.filter(
-        F.transform(F.sequence(F.lit(2), F.size("_p")), lambda i: F.element_at("_p", i) - F.element_at("_p", i - 1)),
-        lambda g: g > 2)
-    measured = lists.join(n, key).withColumn("_g", F.array_sort(gaps)).filter(F.size("_g") > 0)
-    median = F.element_at("_g", (F.floor(F.size("_g") / 2) + 1).cast("int"))
-    near = F.size(F.filter("_g", lambda g: F.abs(g - F.col("median")) <= GRID_TOLERANCE))
-    return measured.withColumn("median", median).filter(F.col("median") >= 2).withColumn(
-        "share", near / F.size("_g")).filter(F.col("share") >= 0.5).select(
-        key, "n_points", F.round("median", 1).alias("spacing"))
+    used = df.select(key, F.col(position).cast("double").alias("_p"), tie)
+    if points is not None:
+        used = top_per_group(used, [key], [F.col("_p"), F.col(tie)], points, "_i").drop("_i")
+    chunked = used.withColumn(ordered.CHUNK, F.floor(F.col("_p") / chunk))
+    gaps = ordered.previous(chunked, [key], [F.col("_p"), F.col(tie)], "_p", "_before").select(
+        key, (F.col("_p") - F.col("_before")).alias("_gap")).filter("_gap > 2")
+    medians = gaps.groupBy(key).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _gap DESC)").alias("median"))
+    near = join_reduced(gaps, medians, key).groupBy(key).agg(
+        F.max("median").alias("median"), F.avg((F.abs(F.col("_gap") - F.col("median")) <= GRID_TOLERANCE).cast("int")).alias("share"))
+    return near.filter("median >= 2 AND share >= 0.5").join(n, key).select(key, "n_points", F.round("median", 1).alias("spacing"))
 
 
 def neighbour_noise(df: DataFrame, key: str, ts: str, tie: str, value: str) -> DataFrame:

@@ -25,10 +25,9 @@ FLAGS = ("count(*) FILTER (WHERE type = 'A' AND state = 'F') AS hidden_blocks, c
 
 
 def correlation_flags(spark, folder):
-    items = b.objects(spark, folder)
-    flags = items.groupBy("doc_id").agg(*[F.expr(e) for e in FLAGS.split(", ")])
-    docs = co.id_time_facts(b.doc_meta(spark, folder), items.select("doc_id", F.col("modified").alias("id_time")))
-    return docs.join(flags, "doc_id", "left").withColumns(
+    items = b.objects(spark, folder).withColumn("id_time", F.col("modified"))
+    docs = co.id_time_facts(b.doc_meta(spark, folder), items, *[F.expr(e) for e in FLAGS.split(", ")])
+    return docs.withColumns(
         {"n_offsets": F.col("author") % 3, "has_sig_field": F.col("doc_id") % 2 == 0})
 
 

@@ -138,13 +138,13 @@ def action_severity_lookup(spark, folder):
     return found.select("event_id", "type", "severity")
 
 
-@query("script_actions", f"""WITH {ACT}, f AS (SELECT doc_id, CAST(floor(event_id / 1500) AS BIGINT) AS part,
+@query("script_actions", f"""WITH {ACT}, f AS (SELECT doc_id,
  location <> 'annotation' AS auto, location <> 'page_aa' AND type IN ('/JS', '/JavaScript') AS script,
  CASE location WHEN 'open_action' THEN severity WHEN 'catalog_aa' THEN 'MEDIUM' WHEN 'page_aa' THEN 'LOW'
  ELSE CASE WHEN listed AND type NOT IN ('/URI', '/GoToR') THEN severity END END AS sev FROM found
  WHERE location <> 'annotation' OR listed)
-SELECT doc_id, part, bool_or(script) AS has_script, bool_or(auto) AS has_auto_execute, count(sev) AS n_findings,
- bool_or(script) AND NOT coalesce(bool_or(sev = 'HIGH'), false) AS extra_high FROM f GROUP BY 1, 2""")
+SELECT doc_id, bool_or(script) AS has_script, bool_or(auto) AS has_auto_execute, count(sev) AS n_findings,
+ bool_or(script) AND NOT coalesce(bool_or(sev = 'HIGH'), false) AS extra_high FROM f GROUP BY 1""")
 def script_actions(spark, folder):
     """Actions by location: an open action has its listed severity, document triggers are MEDIUM, page
     triggers LOW, annotations count only listed types. Scripts without any HIGH finding add one."""
@@ -156,9 +156,8 @@ def script_actions(spark, folder):
         .when(where == "page_aa", "LOW").when(~link, F.col("severity"))
     )
     marked = seen.withColumns({
-        "_severity": severity, "_script": (where != "page_aa") & kind.isin("/JS", "/JavaScript"),
-        "part": F.floor(F.col("event_id") / 1500)})
-    per_doc = marked.groupBy("doc_id", "part").agg(
+        "_severity": severity, "_script": (where != "page_aa") & kind.isin("/JS", "/JavaScript")})
+    per_doc = marked.groupBy("doc_id").agg(
         F.bool_or("_script").alias("has_script"), F.bool_or(where != "annotation").alias("has_auto_execute"),
         F.count("_severity").alias("n_findings"),
         F.coalesce(F.bool_or(F.col("_severity") == "HIGH"), F.lit(False)).alias("_high"))

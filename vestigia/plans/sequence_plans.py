@@ -94,29 +94,29 @@ TIMELINE = f"""WITH {META}, {OBJ}, tl AS (SELECT doc_id, 'metadata' AS source, '
  UNION ALL SELECT user_id, 'event', event_type || ' ' || event_id, ts FROM events)"""
 
 
-def _timeline(spark, folder):
+def _dated(spark, folder):
     meta, items = b.doc_meta(spark, folder), b.objects(spark, folder)
-    return sq.timeline([
+    return [
         meta.selectExpr("doc_id", "'metadata' AS source", "'created' AS detail", "CASE WHEN doc_id % 50 > 0 THEN created END AS ts"),
         items.groupBy("doc_id").agg(F.max("modified").alias("ts")).selectExpr(
             "doc_id", "'metadata' AS source", "'modified' AS detail", "ts"),
         items.selectExpr("doc_id", "'id' AS source", "'part ' || CAST(part AS STRING) AS detail", "modified AS ts"),
         table(spark, folder, "events").selectExpr(
             "user_id AS doc_id", "'event' AS source", "event_type || ' ' || CAST(event_id AS STRING) AS detail", "ts"),
-    ])
+    ]
 
 
 @query("timeline", TIMELINE + """ SELECT doc_id, source, detail, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, row_number() OVER
  (PARTITION BY doc_id ORDER BY tl.ts NULLS FIRST, source, detail) AS place FROM tl""")
 def timeline(spark, folder):
-    return _timeline(spark, folder).select(
+    return sq.timeline(_dated(spark, folder)).select(
         "doc_id", "source", "detail", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "place")
 
 
 @query("union_timeline", TIMELINE + """ SELECT source, count(*) AS n, count(ts) AS n_dated, count(DISTINCT doc_id) AS n_docs FROM tl GROUP BY 1""")
 def union_timeline(spark, folder):
     """Events per source of the united timeline."""
-    return _timeline(spark, folder).groupBy("source").agg(
+    return sq.united(_dated(spark, folder)).groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.count("ts").alias("n_dated"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -148,12 +148,12 @@ def block_hotspots(spark, folder):
 
 @query("regular_spacing", f"""WITH {EV}, p AS (SELECT doc_id, epoch_us(ts) / 3600000000.0 AS x, count(*) OVER (PARTITION BY doc_id) AS n_points,
  row_number() OVER (PARTITION BY doc_id ORDER BY ts, finding_id) AS rn FROM ev),
-g AS (SELECT * FROM (SELECT doc_id, n_points, x - lag(x) OVER (PARTITION BY doc_id ORDER BY rn) AS gap FROM p WHERE rn <= 10 AND n_points >= 6) WHERE gap > 2),
+g AS (SELECT * FROM (SELECT doc_id, n_points, x - lag(x) OVER (PARTITION BY doc_id ORDER BY rn) AS gap FROM p WHERE n_points >= 6) WHERE gap > 2),
 l AS (SELECT doc_id, any_value(n_points) AS n_points, list_sort(list(gap)) AS gs FROM g GROUP BY 1),
 m AS (SELECT *, gs[len(gs) // 2 + 1] AS md FROM l)
 SELECT doc_id, n_points, round(md, 1) AS spacing FROM m WHERE md >= 2 AND len(list_filter(gs, lambda x: abs(x - md) <= 8)) / len(gs) >= 0.5""")
 def regular_spacing(spark, folder):
-    """Hours of the first events of each actor as positions."""
+    """Hours of the events of each actor as positions."""
     points = b.findings(spark, folder).select(
         "doc_id", "finding_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000.0).alias("x"))
     return sq.regular_spacing(points, "doc_id", "x", "finding_id")

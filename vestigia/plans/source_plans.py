@@ -83,6 +83,15 @@ def batch_status(spark, folder):
     return stores.batch_totals(stores.batch_status(docs, "source", error), "source")
 
 
+@query("batch_items", f"""SELECT source, doc_id, CASE WHEN strlen(text) > {formats.MAX_SIZE_BYTES} THEN 'error' ELSE 'ok' END AS status,
+ CASE WHEN strlen(text) > {formats.MAX_SIZE_BYTES} THEN 'too large: ' || strlen(text) END AS error FROM documents""")
+def batch_items(spark, folder):
+    """One status row for each item of a batch, with its error text."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", F.octet_length("text").alias("size_bytes"))
+    error = F.when(F.col("size_bytes") > formats.MAX_SIZE_BYTES, F.format_string("too large: %d", "size_bytes"))
+    return stores.batch_status(docs, "source", error).select("source", "doc_id", "status", "error")
+
+
 @query("append_results", f"WITH {META} SELECT risk_level, count(*) AS n, CAST(sum(n_high) AS BIGINT) AS high FROM meta "
        "GROUP BY risk_level")
 def append_results(spark, folder):

@@ -12,7 +12,7 @@ from vestigia.plans import bindings as b
 from vestigia.plans.bindings import sql_text
 from vestigia.plans.registry import query
 from vestigia.sources import stores
-from vestigia.sources.tables import table
+from vestigia.sources.tables import bytes_as_text, table
 
 # Pages and documents get instruction snippets from their key, so that every rule has hits.
 SNIPPETS = [
@@ -66,6 +66,17 @@ def signature_rules(spark, folder):
     return sc.scan_rules(pages(spark, folder), "page_id", "text")
 
 
+@query("binary_rules", """SELECT page_id, 'PDF_Shellcode_Patterns' AS rule, 'HIGH' AS severity, 1 AS string_count,
+ CASE page_id % 5 WHEN 0 THEN 'nopsled' WHEN 1 THEN 'heap_spray' WHEN 2 THEN 'int80' ELSE 'syscall' END AS matched FROM pages WHERE page_id % 5 < 4""")
+def binary_rules(spark, folder):
+    """Rules of byte values over binary content: pages as bytes, most of them followed by shellcode."""
+    tail = F.expr("CASE page_id % 5 WHEN 0 THEN X'9090909090909090' WHEN 1 THEN X'0C0C0C0C0C0C0C0C' WHEN 2 THEN X'CD80' WHEN 3 THEN X'0F05' ELSE X'' END")
+    content = table(spark, folder, "pages").select("page_id", F.concat(F.encode("html", "UTF-8"), tail).alias("content"))
+    shellcode = [r for r in sc.BUILTIN_RULES if r.name == "PDF_Shellcode_Patterns"]
+    found = sc.scan_rules(content.select("page_id", bytes_as_text(F.col("content")).alias("text")), "page_id", "text", shellcode)
+    return found.select("page_id", "rule", "severity", "string_count", "matched")
+
+
 EXTRA = [("Own_Rule", "HIGH", "own", "a AND NOT b", "a", "track(", False, False), ("Own_Rule", "HIGH", "own", "a AND NOT b", "b", "/Launch", False, False),
          ("Broken_Rule", "HIGH", "own", "a AND c", "a", "x", False, False)]
 OWN = f"""WITH {PG} SELECT page_id, 'Own_Rule' AS rule, 'HIGH' AS severity, {n_lit('text', 'track(')} + {n_lit('text', '/Launch')} AS string_count
@@ -131,6 +142,14 @@ def filter_chain_rules(spark, folder):
     return kinds.withColumn("severity", F.when(F.col("kind") == "jbig2_stream", "HIGH").otherwise("MEDIUM"))
 
 
+@query("filter_usage", f"""WITH f AS (SELECT doc_id, unnest(string_split(filters, ',')) AS filter FROM (SELECT {FCH} FROM lineitem))
+SELECT doc_id, count(DISTINCT filter) AS n_filters, string_agg(DISTINCT filter, ',' ORDER BY filter) AS filters FROM f WHERE filter <> '' GROUP BY 1""")
+def filter_usage(spark, folder):
+    """Distinct filters of each document."""
+    used = b.derived(spark, folder, "lineitem", FCH).select("doc_id", F.explode(F.split("filters", ",")).alias("f")).filter("f <> ''").distinct()
+    return used.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_filters"), F.array_join(F.array_sort(F.collect_list("f")), ",").alias("filters"))
+
+
 KEYS_SQL = "concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower(text), {sql_text(k.lower())}) THEN {sql_text(k)} END" for k in sc.SUSPICIOUS_KEYS) + ")"
 
 

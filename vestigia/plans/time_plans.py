@@ -119,10 +119,10 @@ REGIONS = b.values_table(list(dt.OFFSET_REGIONS.items()), "offset_min, region",
 
 @query("offset_region_lookup", f"""WITH {PARSED}, {REGIONS}, q AS (SELECT doc_id, field, CAST(offset_min AS INT) AS offset_min FROM p
  WHERE local_ts IS NOT NULL)
-SELECT doc_id, field, offset_min, coalesce(region, 'unbekannt') AS region FROM q LEFT JOIN regions USING (offset_min)""")
+SELECT doc_id, field, offset_min, coalesce(region, 'unbekannt (' || offset_min || ')') AS region FROM q LEFT JOIN regions USING (offset_min)""")
 def offset_region_lookup(spark, folder):
     regions = spark.createDataFrame(list(dt.OFFSET_REGIONS.items()), "offset_min int, region string")
-    found = lookup(parsed(spark, folder), "offset_min", regions, {"region": F.lit("unbekannt")})
+    found = lookup(parsed(spark, folder), "offset_min", F.broadcast(regions), {"region": F.format_string("unbekannt (%d)", "offset_min")})
     return found.select("doc_id", "field", "offset_min", "region")
 
 
