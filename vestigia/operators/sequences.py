@@ -53,10 +53,15 @@ def label_spans(ranges: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.withColumn("end", F.coalesce(F.lead("start").over(w), F.col("page_count")))
 
 
+PAGE_BLOCK = 10_000
+
+
 def page_labels(spans: DataFrame) -> DataFrame:
-    """The label of every page that a range covers."""
+    """The label of every page that a range covers. Ranges are opened in blocks, so a range declared over very many pages is
+    never one array."""
     covered = spans.filter(F.col("end") > F.col("start"))
-    pages = covered.withColumn("page", F.explode(F.sequence("start", F.col("end") - 1)))
+    blocks = covered.withColumn("_from", F.explode(F.sequence(F.col("start"), F.col("end") - 1, F.lit(PAGE_BLOCK))))
+    pages = blocks.withColumn("page", F.explode(F.sequence("_from", F.least(F.col("_from") + PAGE_BLOCK, F.col("end")) - 1))).drop("_from")
     number = F.col("first") + F.col("page") - F.col("start")
     return pages.select("doc_id", "page", label_text(F.col("style"), F.col("prefix"), number).alias("label"))
 
