@@ -182,12 +182,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whole = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     copies = stored(whole.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
                     .filter("n > 1").select("digest", "rep"), "copies")
-    own = whole.join(copies, "digest", "left").filter("rep IS NULL OR rep = doc_id")
+    own = whole.join(copies.hint("merge"), "digest", "left").filter("rep IS NULL OR rep = doc_id")
     holders = own.select("doc_id", F.explode("keys").alias("key"))
     shared = stored(holders.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
                                                F.count(F.lit(1)).alias("n"))
                     .filter("first < last").select("key", "first", "n"), "shared-keys")
-    held = stored(holders.join(shared, "key").groupBy("doc_id", "first").agg(F.sum("n").alias("weight")), "held")
+    held = stored(holders.join(shared.hint("merge"), "key").groupBy("doc_id", "first").agg(F.sum("n").alias("weight")), "held")
     # A document joins its first holders (50 at most) as a star around the smallest of them, so large clusters give few edges.
     stars = held.groupBy("doc_id").agg(F.min("first").alias("a"), F.collect_set("first").alias("firsts")).select(
         "a", F.explode(F.array_union("firsts", F.array("doc_id"))).alias("b"))
