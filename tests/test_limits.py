@@ -120,7 +120,7 @@ def test_hot_key_of_a_reduced_join_is_split(spark):
         rows = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.md5(
             F.col("id").cast("string")).alias("v")).repartition(20)
         counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-        joined = join_reduced(rows, counts, "k").agg(F.sum("n"))
+        joined = join_reduced(rows, counts, "k").agg(F.sum("n"), F.max("v"))
         assert joined.collect()[0][0] == 100_000 ** 2 + 200_000
         assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
     finally:
