@@ -92,5 +92,11 @@ def is_suspicious_url(url: Column, mode: str = "host") -> Column:
     return tld | F.regexp_replace(host, r"^www\.", "").isin(URL_SHORTENERS)
 
 
+def suspicion(url: Column) -> Column:
+    """Why a URL is suspicious: onion, shortener or domain; null if it is not."""
+    shortener = F.regexp_replace(url_host(url), r"^www\.", "").isin(URL_SHORTENERS)
+    return F.when(is_suspicious_url(url), F.when(is_onion(url), "onion").when(shortener, "shortener").otherwise("domain"))
+
+
 def is_onion(url: Column) -> Column:
     return F.lower(url).contains(".onion")

@@ -162,7 +162,7 @@ def _fired(rule: Rule, columns: dict[str, str]) -> Column:
         F.lit(rule.name).alias("rule"),
         F.lit("HIGH" if rule.severity in ("CRITICAL", "HIGH") else "MEDIUM").alias("severity"),
         F.lit(rule.category).alias("category"), total.alias("string_count"),
-        F.array_join(F.slice(matched, 1, MATCHED_STRINGS_SHOWN), ",").alias("matched")))
+        F.array_join(F.slice(matched, 1, MATCHED_STRINGS_SHOWN), ",").alias("matched"), F.size(matched).cast("long").alias("n_matched")))
 
 
 RULE_SCHEMA = ("rule string, severity string, category string, condition string, string string, pattern string, "

@@ -183,13 +183,14 @@ def type_distribution(objects: DataFrame) -> DataFrame:
     return counts.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("types"))
 
 
-def size_profile(pages: DataFrame) -> DataFrame:
-    """Distinct page sizes to one decimal; more than one is a LOW finding."""
+def size_profile(pages: DataFrame, shown: int = 20) -> DataFrame:
+    """Distinct page sizes to one decimal, their number and the first few; more than one is a LOW finding."""
     size = F.format_string("%.1fx%.1f", F.abs(F.col("width").cast("double")), F.abs(F.col("height").cast("double")))
     distinct = pages.select("doc_id", size.alias("size")).distinct()
-    profile = distinct.groupBy("doc_id").agg(F.array_sort(F.collect_list("size")).alias("_sizes"))
-    return profile.select("doc_id", F.array_join("_sizes", ", ").alias("sizes"), (F.size("_sizes") > 1).alias("mixed"),
-                          F.when(F.size("_sizes") > 1, "LOW").alias("severity"))
+    counts = distinct.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sizes"))
+    profile = counts.join(first_k(distinct, ["doc_id"], [F.col("size")], "size", shown, "_sizes"), "doc_id")
+    mixed = F.col("n_sizes") > 1
+    return profile.select("doc_id", F.array_join("_sizes", ", ").alias("sizes"), "n_sizes", mixed.alias("mixed"), F.when(mixed, "LOW").alias("severity"))
 
 
 def is_a4(width: Column, height: Column) -> Column:

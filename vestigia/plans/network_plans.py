@@ -97,6 +97,27 @@ def is_suspicious_url(spark, folder):
     )
 
 
+SHORT = ", ".join(sql_text(s) for s in net.URL_SHORTENERS)
+
+
+@query("suspicious_indicators", f"""WITH u AS (SELECT page_id, {HOSTED} AS url FROM pages)
+SELECT page_id, url, {d_host('url')} AS host, CASE WHEN contains(lower(url), '.onion') THEN 'onion'
+ WHEN regexp_replace({d_host('url')}, '^www\.', '') IN ({SHORT}) THEN 'shortener' ELSE 'domain' END AS reason FROM u WHERE {d_susp('url')}""")
+def suspicious_indicators(spark, folder):
+    """The suspicious URLs themselves with the reason."""
+    urls = _pages(spark, folder).selectExpr("page_id", f"{HOSTED} AS url").withColumn("reason", net.suspicion(F.col("url")))
+    return urls.filter("reason IS NOT NULL").select("page_id", "url", net.url_host(F.col("url")).alias("host"), "reason")
+
+
+@query("distinct_hosts", f"""SELECT page_id, count(DISTINCT h) AS n_hosts FROM (SELECT page_id, {d_host('u')} AS h FROM
+ (SELECT page_id, unnest({d_urls('html')}) AS u FROM (SELECT page_id, html || ' ' || url AS html FROM pages))) WHERE h <> '' GROUP BY 1""")
+def distinct_hosts(spark, folder):
+    """Number of different hosts of each page, counted inside the row."""
+    found = _pages(spark, folder).select("page_id", net.urls(F.concat("html", F.lit(" "), "url")).alias("urls"))
+    hosts = F.array_distinct(F.filter(F.transform("urls", net.url_host), lambda h: h != ""))
+    return found.select("page_id", F.size(hosts).cast("long").alias("n_hosts")).filter("n_hosts > 0")
+
+
 IND = f"""
 ind AS (SELECT kind, id, text, {d_urls('text')} AS urls, {d_ips('text')} AS ips,
                {d_mails('text')} AS emails

@@ -184,7 +184,7 @@ PAGE = ("l_orderkey AS doc_id, CASE l_partkey % 4 WHEN 0 THEN 841.89 WHEN 1 THEN
 @query("size_profile", f"""WITH p AS (SELECT {PAGE} FROM lineitem), s AS (SELECT DISTINCT doc_id, CASE WHEN width < 598 THEN '595.3' WHEN width < 700
  THEN '600.3' ELSE '841.9' END || 'x' || CASE WHEN height < 598 THEN '595.3' WHEN height < 700 THEN '600.3' WHEN height < 843 THEN '841.9'
  WHEN height < 845 THEN '844.4' ELSE '846.9' END AS s FROM p)
-SELECT doc_id, string_agg(s, ', ' ORDER BY s) AS sizes, count(*) > 1 AS mixed, CASE WHEN count(*) > 1 THEN 'LOW' END AS severity FROM s GROUP BY 1""")
+SELECT doc_id, string_agg(s, ', ' ORDER BY s) AS sizes, count(*) AS n_sizes, count(*) > 1 AS mixed, CASE WHEN count(*) > 1 THEN 'LOW' END AS severity FROM s GROUP BY 1""")
 def size_profile(spark, folder):
     return st.size_profile(b.derived(spark, folder, "lineitem", PAGE))
 

@@ -57,7 +57,7 @@ def _rules_sql() -> str:
         matched = "concat_ws(',', " + ", ".join(f"CASE WHEN {n}_ > 0 THEN '{n}' END" for n in hits) + ")"
         severity = "HIGH" if r.severity in ("CRITICAL", "HIGH") else "MEDIUM"
         parts.append(f"SELECT page_id, '{r.name}' AS rule, '{severity}' AS severity, '{r.category}' AS category, CAST({total} AS BIGINT) "
-                     f"AS string_count, {matched} AS matched FROM (SELECT page_id, {cols} FROM pg) WHERE {cond}")
+                     f"AS string_count, {matched} AS matched, CAST({flags} AS BIGINT) AS n_matched FROM (SELECT page_id, {cols} FROM pg) WHERE {cond}")
     return f"WITH {PG} " + " UNION ALL ".join(parts)
 
 
