@@ -34,6 +34,22 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "GreaterThanOrEqual(o_orderdate" in plan(catalog.QUERIES["history_search"](spark, FOLDER))
 
 
+def test_dates_are_built_once(spark):
+    text = catalog.QUERIES["modal_value"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("explode(array(CASE WHEN") == 1 and "isnotnull(CASE" not in text
+
+
+def test_tools_are_searched_once_per_side(spark):
+    text = catalog.QUERIES["known_tool_lookup"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Contains(") + text.count("contains(") < 200
+
+
+def test_timeline_reads_its_input_once(spark):
+    df = catalog.QUERIES["timeline"](spark, FOLDER)
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hidden_text_is_shuffled_once(spark):
     text = plan(catalog.QUERIES["token_state_ffill"](spark, FOLDER))
     assert text.count("Exchange hashpartitioning(doc_id") == 2  # the pages, and the final count

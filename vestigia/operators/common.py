@@ -48,6 +48,11 @@ def emit(df: DataFrame, keys: Sequence[str], rules: Sequence[Column]) -> DataFra
     return df.select(*keys, F.explode(fired).alias("f")).select(*keys, "f.*")
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A costly value as a column that later steps read and do not build again: filters and fields are not moved below it."""
+    return df.withColumn(name, F.explode_outer(F.array(value)))
+
+
 def count_where(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vestigia.functions import dates as dt
-from vestigia.operators.common import rule, emit
+from vestigia.operators.common import computed_once, emit, rule
 from vestigia.operators.matching import lookup
 from vestigia.plans import bindings as b
 from vestigia.plans.registry import query
@@ -33,8 +33,8 @@ def stamps(spark, folder):
 
 
 def parsed(spark, folder):
-    return stamps(spark, folder).withColumn("p", dt.parse_document_date(F.col("raw"))).filter("p IS NOT NULL").select(
-        "doc_id", "field", "p.*")
+    once = computed_once(stamps(spark, folder), "p", dt.parse_document_date(F.col("raw")))
+    return once.filter("p IS NOT NULL").select("doc_id", "field", "p.*")
 
 
 FMT = "yyyy-MM-dd HH:mm:ss"
