@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vestigia.llm.common import table, worker_state
+from vestigia.llm.common import table
 from vestigia.llm.words import slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNIGRAM = 1
 UNKNOWN_PENALTY = 10.0
-SHORT, TOGETHER, CACHE = 64, 16_384, 200_000
+SHORT, TOGETHER, CACHE = 64, 8_192, 100_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -117,7 +117,6 @@ class Model:
     segment: str  # pattern of the segments
     prefix: bool
     squeeze: bool
-    digest: int
 
     def normalised(self, text: str) -> str:
         if self.squeeze:
@@ -166,7 +165,7 @@ def compile_model(data: bytes) -> Model:
     base, check, value = double_array({t.encode(): i for t, i in normal.items()})
     decoded = [bytes([int(t[3:5], 16)]) if k == BYTE else t.encode() if k == NORMAL else b"" for t, k in zip(texts, kinds)]
     return Model(decoded, score, byte_ids, kinds.index(UNKNOWN), base, check, value, max(len(t.encode()) for t in normal),
-                 float(min(score[i] for i in normal.values())) - UNKNOWN_PENALTY, pattern, prefix, squeeze, zlib.crc32(data))
+                 float(min(score[i] for i in normal.values())) - UNKNOWN_PENALTY, pattern, prefix, squeeze)
 
 
 _WIDTH = np.ones(256, np.int64)
@@ -299,7 +298,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(compiled(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_state(("pieces", model.value.digest), lambda: Encoder(model.value))
+        encoder = Encoder(model.value)
         is_byte = np.zeros(len(model.value.pieces), bool)
         is_byte[model.value.byte_ids] = True
         for batch in batches:
@@ -324,7 +323,7 @@ def with_pieces(docs: DataFrame, path: str) -> DataFrame:
     docs = docs.drop("piece_ids", "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_state(("pieces", model.value.digest), lambda: Encoder(model.value))
+        encoder = Encoder(model.value)
         for batch in batches:
             sizes, flat, back = [0], [np.zeros(0, np.int32)], []
             for texts in _parts(batch["text"]):
