@@ -9,6 +9,7 @@ from vestigia.operators.common import join_reduced, joined
 from vestigia.operators.matching import known_tool
 from vestigia.plans import bindings as b
 from vestigia.plans.bindings import EV, META, OBJ
+from vestigia.plans.predicate_plans import FACTS, with_object_facts
 from vestigia.plans.registry import ORACLES, QUERIES, query
 from vestigia.sources import stores
 from vestigia.sources.tables import table
@@ -151,7 +152,8 @@ def partial_presence(spark, folder):
     return cmp.partial_presence(b.doc_meta(spark, folder), "has_script", "revisions")
 
 
-ATTRIBUTES = ["name", "risk_level", "producer", "creator", "n_high", "n_medium", "has_script", "encrypted", "revisions"]
+ATTRIBUTES = ["name", "sha256", "risk_level", "producer", "creator", "created", "modified", "page_count", "image_count", "n_high", "n_medium",
+              "has_script", "encrypted", "revisions"]
 
 
 def _matrix_sql() -> str:
@@ -159,13 +161,16 @@ def _matrix_sql() -> str:
         f"SELECT comparison_id, '{a}' AS attribute, " + ", ".join(
             f"max(CAST({a} AS VARCHAR)) FILTER (rn = {i}) AS doc_{i}" for i in range(1, 5)) + " FROM r GROUP BY comparison_id"
         for a in ATTRIBUTES)
-    return (f"WITH {META}, r AS (SELECT *, row_number() OVER (PARTITION BY comparison_id ORDER BY doc_id) AS rn FROM meta "
+    return (f"WITH {FACTS}, r AS (SELECT * REPLACE (strftime(created, '%Y-%m-%d') AS created, strftime(modified, '%Y-%m-%d') AS modified), "
+            f"sha256(name) AS sha256, row_number() OVER (PARTITION BY comparison_id ORDER BY doc_id) AS rn FROM doc "
             f"WHERE comparison_id IN ({OK_SETS.format(t='meta')})) " + rows)
 
 
 @query("matrix_transpose", _matrix_sql())
 def matrix_transpose(spark, folder):
-    return cmp.attribute_matrix(b.doc_meta(spark, folder), ATTRIBUTES)
+    docs = with_object_facts(spark, folder).withColumns({
+        "sha256": F.sha2("name", 256), "created": F.date_format("created", "yyyy-MM-dd"), "modified": F.date_format("modified", "yyyy-MM-dd")})
+    return cmp.attribute_matrix(docs, ATTRIBUTES)
 
 
 SUMMARY = f"""WITH {META}, t AS (SELECT doc_id, comparison_id, {TOOL} AS tool, producer, created, priority, creator, author FROM meta),
