@@ -1,6 +1,7 @@
 """Licence recognition by sentences: each sentence of a text, normalised, is looked up among known licence sentences; the
 sequence of their identifiers is then matched against ordered rules. A rule takes the identifiers it matches out of the sequence,
-so that a general rule does not fire on what a special one has explained.
+so that a general rule does not fire on what a special one has explained. A known sentence is found alone, wrapped over lines and inside
+comment blocks: comment leaders are dropped, and a line end may stand between any two of its words.
 
 Everything happens inside the row; no shuffle. A text without any of the marker words has no known sentence and is not split for
 the look-up.
@@ -11,6 +12,8 @@ sentence found twice gives two identifiers, and each licence is named once. Othe
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +99,14 @@ MARKERS = ["licens", "permission", "redistribut", "warrant", "copyright", "right
 SENTENCE_END = r"[.!?]+(?:[ \t\r]+|$)|\n+"
 # A line goes on in the next one if that begins in lower case, or both in upper case.
 WRAPPED = [(r"([A-Za-z0-9,;:)\x22\x27])[ \t\r]*\n[ \t]*([a-z(\x22])", "{1} {2}"), (r"([A-Z,])[ \t\r]*\n[ \t]*([A-Z][A-Z])", "{1} {2}")]
+# A line comment ends where a line without its mark begins.
+LAST_COMMENT = r"((?:^|\n)[ \t]*+(?:#|//|;|--|%)[^\n]*+)(?=\n[ \t]*+[A-Za-z(])"
+# What stands before and behind the text of a line in a comment.
+LEADER = r"(^|\n)[ \t\r*/#;%!|>-]*+(?:(?:REM|rem|dnl)[ \t]++)?"
+BORDER = r"(?<![ \t\r*/#|])[ \t\r*/#|]++(?=\n|(?![\s\S]))"
+# Marks in the reduced text: a sentence ends at the first; at the second, a line end, it may end or go on.
+END, LINE = "\x01", "\x02"
+ENDS = r"(?<![.!?])[.!?]++(?![^ \t\r\n])|/\*|\*/|<!--|-->"
 NOT_WORD = "[^a-z0-9]+"
 
 
@@ -114,11 +125,29 @@ def _unwrapped(text: Column) -> Column:
     return text
 
 
-def _identifiers(sentences: Column) -> Column:
+def _reduced(text: Column) -> Column:
+    """Words of the text in lower case with marks for ends of sentences and lines, each with a blank on both sides."""
+    apart = F.regexp_replace(F.translate(text, END + LINE, "  "), LAST_COMMENT, "$1\n")
+    plain = F.regexp_replace(F.regexp_replace(apart, BORDER, ""), LEADER, "$1")
+    marked = F.regexp_replace(F.regexp_replace(lower_ascii(_unwrapped(plain)), ENDS, f" {END} "), r"\n[ \t\r\n]*+", f" {LINE} ")
+    return F.regexp_replace(F.concat(F.lit(f"{LINE} "), marked, F.lit(f" {LINE} ")), f"[^a-z0-9{END}{LINE}]+", " ")
+
+
+def sentence_pattern() -> str:
+    """The known sentences in a reduced text, the longer first. Lines may end between any two words; a dot before a blank is met only
+    where the known sentence has one."""
+    found = {}
+    for _, sentence in SENTENCES:
+        words = re.sub(f"[^a-z0-9{END}]+", " ", re.sub(ENDS, f" {END} ", sentence.lower())).strip(f" {END}").split(" ")
+        found[f" (?:{LINE} )*+".join(f"{END}?" if w == END else w for w in words).replace(f"{END}? ", f"(?:{END} )?")] = len(words)
+    return f"(?<=[{END}{LINE}] )(?:{'|'.join(sorted(found, key=lambda p: (-found[p], p)))})(?= [{END}{LINE}])"
+
+
+def _identifiers(text: Column) -> Column:
     known = known_sentences()
     look_up = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    plain = F.transform(sentences, lambda s: F.trim(F.regexp_replace(lower_ascii(s), NOT_WORD, " ")))
-    return F.filter(F.transform(plain, lambda s: F.try_element_at(look_up, s)), lambda i: i.isNotNull())
+    hits = F.regexp_extract_all(_reduced(text), F.lit(sentence_pattern()), F.lit(0))
+    return F.transform(hits, lambda s: F.try_element_at(look_up, F.regexp_replace(s, NOT_WORD, " ")))
 
 
 def recognised(docs: DataFrame) -> DataFrame:
@@ -129,7 +158,7 @@ def recognised(docs: DataFrame) -> DataFrame:
     for m in MARKERS:
         marked = marked | F.contains(low, F.lit(m))
     none = F.array().cast("array<string>")
-    found = docs.withColumn("sentence_ids", F.when(marked, _identifiers(F.split(_unwrapped(text), SENTENCE_END))).otherwise(none))
+    found = docs.withColumn("sentence_ids", F.when(marked, _identifiers(text)).otherwise(none))
     rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern")) for n, p in RULES])
     start = F.struct(F.concat(F.array_join("sentence_ids", ";"), F.lit(";")).alias("rest"), none.alias("names"))
 
