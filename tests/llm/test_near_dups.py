@@ -68,3 +68,12 @@ def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(1000, 1001)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+
+
+@pytest.mark.parametrize("reach", [1, 3])
+def test_shuffled_chain_is_one_component(spark, reach):
+    ids = list(range(3000))
+    random.Random(4).shuffle(ids)
+    edges = [(ids[i], ids[i + k]) for k in range(1, reach + 1) for i in range(len(ids) - k)] + [(5000, 4000)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(ids, 0), 4000: 4000, 5000: 4000}

@@ -1,6 +1,7 @@
 """Threshold and format edges on hand-written rows."""
 
 import hashlib
+import random
 import uuid
 
 import pytest
@@ -217,6 +218,14 @@ def test_groups_match_union_find(spark):
     assert got == {d: find(d) for d in parent}
 
 
+def test_shuffled_chain_of_links_is_one_group(spark):
+    ids = list(range(3000))
+    random.Random(4).shuffle(ids)
+    links = [(d, f"x{i + k}") for i, d in enumerate(ids) for k in (0, 1)] + [(5000, "z")]
+    got = {r.doc_id: r.label for r in graph.connected_groups(spark.createDataFrame(links, "doc_id int, id string")).collect()}
+    assert got == {**dict.fromkeys(ids, 0), 5000: 5000}
+
+
 def test_sign_digest_matches_plain_python(spark):
     words = "the quick brown fox jumps over the lazy dog and runs away from the quick brown fox".split()
     docs = spark.createDataFrame([(1, " ".join(words)), (2, "The Quick, brown fox"), (3, ""), (4, " ".join(words).upper())], "doc_id int, text string")

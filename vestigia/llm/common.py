@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vestigia.operators.graph import hooked
 from vestigia.session import checkpoint_folder
 
 
@@ -53,21 +54,22 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """`(node, component)` for each node of the undirected edges `(a, b)`: the smallest node reachable.
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so a chain of n nodes
-    needs about log n rounds. Every round is stored; joins have plain tables on both sides, so a hot node can be split."""
+    Each round takes the smallest label among the neighbours of a node, gives it to the node and to the node that its label
+    names, so that whole trees are hung below smaller ones, and then takes the label of the label. Rounds grow with the logarithm of
+    a chain's length whatever the order of its ids; the loop ends when no label changes. Every round is stored; joins have plain
+    tables on both sides, so a hot node can be split."""
     both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
     both = stored(both, "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
                     .select("node", F.least("node", "b").alias("label")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_m"))
-        lower = labels.join(near, "node").select("node", "label", F.least("label", "_m").alias("_new"))
+        lower = hooked(labels.join(near, "node"), "node")
         target = labels.select(F.col("node").alias("_new"), F.col("label").alias("_jump"))
         step = stored(lower.join(target, "_new").select("node", "label", F.least("_new", "_jump").alias("_new")), "labels")
         labels = step.select("node", F.col("_new").alias("label"))
         if step.filter("label <> _new").isEmpty():
             return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")

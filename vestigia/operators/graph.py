@@ -96,24 +96,31 @@ def tree_flatten(edges: DataFrame, roots: DataFrame, max_depth: int | None = Non
     return reduce(DataFrame.unionByName, leaves) if leaves else level
 
 
-def connected_groups(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def hooked(met: DataFrame, key: str) -> DataFrame:
+    """`(key, label, _new)` from `(key, label, _m)`: a smaller label that a node met goes to the node and to the node its own label
+    names. Partial aggregation reduces what a hot label receives."""
+    give = F.array(F.struct(F.col(key), "label", F.least("label", "_m").alias("_new")),
+                   F.when(F.col("_m") < F.col("label"), F.struct(F.col("label").alias(key), F.lit(None).alias("label"), F.col("_m").alias("_new"))))
+    return met.select(F.explode(give).alias("_g")).filter("_g IS NOT NULL").select("_g.*").groupBy(key).agg(
+        F.max("label").alias("label"), F.min("_new").alias("_new"))
+
+
+def connected_groups(links: DataFrame) -> DataFrame:
     """Smallest document id of each connected group, from `(doc_id, id)` links.
 
     Documents meet only through their ids: a round takes the minimum per id, then per document, so an id
-    shared by a third of the corpus costs one partial aggregate and no pairs. Labels are then shortened
-    by looking up the label of the label, which halves long chains."""
+    shared by a third of the corpus costs one partial aggregate and no pairs. The smaller label is also given to the document
+    that a label names, so that whole groups are joined; labels are then shortened by looking up the label of the
+    label. Rounds grow with the logarithm of a chain's length; the loop ends when no label changes."""
     edges = cut_lineage(links.select("doc_id", "id").distinct())
     labels = cut_lineage(edges.select("doc_id").distinct().withColumn("label", F.col("doc_id")))
-    for _ in range(max_rounds):
+    while True:
         per_id = edges.join(labels, "doc_id").groupBy("id").agg(F.min("label").alias("_id_label"))
-        per_doc = join_reduced(edges, per_id, "id").groupBy("doc_id").agg(F.min("_id_label").alias("_new"))
-        moved = labels.join(per_doc, "doc_id").select("doc_id", "label", F.least("label", "_new").alias("_new"))
-        jump = moved.select(F.col("doc_id").alias("_new"), F.col("_new").alias("_jump"))
-        updated = cut_lineage(moved.join(jump, "_new", "left").select(
-            "doc_id", "label", F.least("_new", F.coalesce("_jump", "_new")).alias("next")))
-        changed = updated.filter("next <> label").limit(1)
-        done = changed.isEmpty()
+        per_doc = join_reduced(edges, per_id, "id").groupBy("doc_id").agg(F.min("_id_label").alias("_m"))
+        moved = hooked(labels.join(per_doc, "doc_id"), "doc_id")
+        jump = labels.select(F.col("doc_id").alias("_new"), F.col("label").alias("_jump"))
+        updated = cut_lineage(moved.join(jump, "_new").select("doc_id", "label", F.least("_new", "_jump").alias("next")))
+        done = updated.filter("next <> label").isEmpty()
         labels = updated.select("doc_id", F.col("next").alias("label"))
         if done:
             return labels
-    raise RuntimeError(f"groups not settled after {max_rounds} rounds")
