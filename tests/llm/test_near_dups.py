@@ -77,3 +77,27 @@ def test_shuffled_chain_is_one_component(spark, reach):
     edges = [(ids[i], ids[i + k]) for k in range(1, reach + 1) for i in range(len(ids) - k)] + [(5000, 4000)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(ids, 0), 4000: 4000, 5000: 4000}
+
+
+def test_layout_keeps_the_chances():
+    assert near_dups.layout(85) == (near_dups.CHUNKS, 24)
+    chunks, far = near_dups.layout(80)
+    assert chunks == 14 and 24 < far < chunks * near_dups.SLOTS
+
+
+def test_share_drops_copies_between_the_two_shares(spark):
+    rng = random.Random(9)
+    rows, share = [], []
+    for k in range(60):
+        words = [f"g{k}v{rng.randrange(10**6)}" for _ in range(204)]
+        other = list(words)
+        for at in rng.sample(range(20, 180, 20), 4 if k % 2 else 6):  # 200 shingles, of which 20 or 30 are others
+            other[at] = f"x{at}"
+        a, b = ({tuple(w[i:i + 5]) for i in range(200)} for w in (words, other))
+        share.append(len(a & b) / len(a | b))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    assert {0.8 <= s < 0.85 for s in share} == {True, False} and min(share) < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in near_dups.distinct_documents(docs, 80).collect()}
+    assert kept == {2 * k for k in range(60)} | {2 * k + 1 for k in range(60) if share[k] < 0.8}
+    assert near_dups.near_duplicates(docs).filter("kept").count() == 120
