@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vestigia.functions import dates, network, numbers, text
-from vestigia.operators import compare, correlate, graph, measures, rollups, rulesets, scans, sequences, similarity, structure, tokens
+from vestigia.operators import compare, correlate, graph, matching, measures, rollups, rulesets, scans, sequences, similarity, structure, tokens
 from vestigia.operators.common import emit, first_k
 from vestigia.plans.measure_plans import digests
 from vestigia.sources import formats, stores
@@ -286,3 +286,12 @@ def test_correlation_needs_both_sides(spark):
     rows = [(1, "a", "b", 3600.0, 1, 5, True, False, 2, False, 1, 0, 0, 1, 0, 1), (2, "a", "b", 3601.0, 2, 2, True, True, 2, True, 1, 1, 1, 1, 1, 1), (3, "", "b", 172801.0, 0, 0, False, True, 1, True, 0, 0, 0, 0, 0, 0)]
     found = emit(spark.createDataFrame(rows, schema), ["doc_id"], correlate.correlation_rules()).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in found} == {2: 7, 3: 1}
+
+
+def test_every_probe_is_searched(spark):
+    rows = [(i, [i % 3]) for i in range(1, 301)] + [(400, []), (401, [])]
+    signed = spark.createDataFrame(rows, "doc_id int, signature array<int>").withColumn("is_probe", F.col("doc_id") % 100 == 0)
+    found = matching.probe_groups(signed, "is_probe").collect()
+    assert {(r.doc_id, r.probe_id, r.n_probes, r.n_matches) for r in found} == {(i, {1: 100, 2: 200, 0: 300}[i % 3], 1, 99) for i in range(1, 301)}
+    hot = matching.probe_groups(signed.withColumn("signature", F.array(F.lit(1))), "is_probe").collect()
+    assert len(hot) == 302 and {(r.probe_id, r.n_probes, r.n_matches) for r in hot} == {(100, 4, 301)}

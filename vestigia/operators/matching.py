@@ -155,3 +155,12 @@ def same_signature(signed: DataFrame, probe: DataFrame, signature: str = "signat
     """Other documents with a probe's non-empty signature, all of them, for each probe."""
     wanted = probe.select(signature, F.col(key).alias("probe_id")).filter(F.size(signature) > 0).distinct()
     return signed.join(wanted, signature).filter(F.col(key) != F.col("probe_id"))
+
+
+def probe_groups(signed: DataFrame, is_probe: str, signature: str = "signature", key: str = "doc_id") -> DataFrame:
+    """All rows whose non-empty signature some probe has, with the group's first probe, number of probes and matches of each probe. Groups
+    stand for pairs: probes of equal signature match the same rows, each all but its own."""
+    groups = signed.filter(F.size(signature) > 0).groupBy(signature).agg(
+        F.min(F.when(F.col(is_probe), F.col(key))).alias("probe_id"), F.count_if(F.col(is_probe)).alias("n_probes"),
+        (F.count(F.lit(1)) - 1).alias("n_matches")).filter("n_probes > 0")
+    return join_reduced(signed, groups, signature)

@@ -49,6 +49,21 @@ def signature_cross_match(spark, folder):
                         .alias("signature"))
 
 
+@query("signature_cross_matches", f"""WITH s AS (SELECT vec_id AS doc_id, label, {SIGNED} AS sig FROM embeddings),
+p AS (SELECT * FROM s WHERE doc_id % 100 = 0),
+m AS (SELECT s.doc_id, s.label, s.sig, min(p.doc_id) AS probe_id, count(*) AS n_probes FROM s JOIN p USING (sig) WHERE len(s.sig) > 0 GROUP BY ALL)
+SELECT m.doc_id, label, array_to_string(sig, ',') AS signature, probe_id, n_probes, doc_id % 100 = 0 AS is_probe,
+ (SELECT count(*) FROM s x WHERE x.sig = m.sig AND x.doc_id <> m.probe_id) AS n_matches FROM m""")
+def signature_cross_matches(spark, folder):
+    """All items with the signature of a probe; every item whose id is divisible by 100 is one. Probes of equal signature are one group,
+    named by the first: each of them has the same `n_matches`, namely all rows of the group but its own."""
+    vectors = table(spark, folder, "embeddings")
+    coarse = F.transform(F.slice("embedding", 1, 3), lambda x: F.floor(x.cast("double") * 4).cast("int"))
+    signed = vectors.select(F.col("vec_id").alias("doc_id"), "label", coarse.alias("signature")).withColumn("is_probe", F.col("doc_id") % 100 == 0)
+    found = mt.probe_groups(signed, "is_probe")
+    return found.withColumn("signature", F.array_join(F.transform("signature", lambda x: x.cast("string")), ","))
+
+
 def _known(col: str) -> str:
     return f"(SELECT min_by(name, i) FROM tools WHERE contains(lower({col}), lower(key)))"
 
