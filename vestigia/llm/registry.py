@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from vestigia.llm import decontaminate, fill_middle, licenses, near_dups, personal_data, pieces, quality_rules, token_counts, token_files, url_filter, warc
+from vestigia.llm import decontaminate, fill_middle, licenses, near_dups, packing, personal_data, pieces, quality_rules, token_counts, token_files, url_filter, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_simple8b_files": token_files.op8_simple8b_files,
     "op9_minhash_near_dedup": near_dups.op9_minhash_near_dedup,
     "op10_sentencepiece_viterbi": pieces.op10_sentencepiece_viterbi,
+    "op11_vector_packing": packing.op11_vector_packing,
     "op13_fill_middle": fill_middle.op13_fill_middle,
     "pipeline": corpus_pipeline.run,
 }
