@@ -27,9 +27,10 @@ def clashing(df):
     return df.withColumns({c: F.lit(f"extra {c}") for c in CLASHING})
 
 
-def write_tables(spark, folder, docs, labels=(), benchmark=(), pages=()):
+def write_tables(spark, folder, docs, labels=(), benchmark=(), pages=(), conversations=()):
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(list(labels), "doc_id long, quality long, toxic long").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame(list(pages), "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame(list(conversations), "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return str(folder)

@@ -21,7 +21,7 @@ def test_same_rows_as_sql(spark, con, name):
 
 def test_entry_has_all_queries():
     assert set(registry.QUERIES) <= set(entry.queries()) and set(registry.ORACLES) <= set(entry.oracle_sql())
-    assert [f"op{n}" for n in [*range(1, 12), 13]] == sorted((q.split("_")[0] for q in registry.QUERIES if q != "pipeline"), key=lambda x: int(x[2:]))
+    assert [f"op{n}" for n in range(1, 14)] == sorted((q.split("_")[0] for q in registry.QUERIES if q != "pipeline"), key=lambda x: int(x[2:]))
 
 
 @pytest.mark.parametrize("name", ["op3_license_sentences", "op4_quality_rules", "op5_url_language_model", "op7_benchmark_decontamination"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from vestigia.llm import decontaminate, fill_middle, licenses, near_dups, packing, personal_data, pieces, quality_rules, token_counts, token_files, url_filter, warc
+from vestigia.llm import decontaminate, fill_middle, licenses, near_dups, packing, personal_data, pieces, quality_rules, repair, token_counts, token_files, url_filter, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_minhash_near_dedup": near_dups.op9_minhash_near_dedup,
     "op10_sentencepiece_viterbi": pieces.op10_sentencepiece_viterbi,
     "op11_vector_packing": packing.op11_vector_packing,
+    "op12_auction_repair": repair.op12_auction_repair,
     "op13_fill_middle": fill_middle.op13_fill_middle,
     "pipeline": corpus_pipeline.run,
 }
