@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm import samples
-from vestigia.llm import automata, pieces, token_counts, token_files
+from vestigia.llm import automata, pieces, token_counts, token_files, unit_ids
 
 PATH = pieces.vocabulary("byte_bpe_50k.json")
 MODEL = pieces.vocabulary("piece_bpe_32k.model")
@@ -145,3 +146,17 @@ def test_round_trip_of_whole_texts(spark):
     assert len(rows) == len(samples.TEXTS)
     assert {r.doc_id for r in rows if not r.round_trip} == {12}  # it holds a marker of its own
     assert [(r.n_pieces, r.ids_crc32) for r in rows if r.doc_id in (2, 3)] == [(0, 0), (0, 0)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list(" \t\n 　 \u0085\x1cab'slé1!<|endoftext|>")), max_size=14), max_size=6))
+def test_units_with_their_blanks_have_the_ids_of_the_library(machine, texts):
+    library, encoder = machine[3], _ENCODER[0] if _ENCODER else unit_ids.byte_level(open(PATH, encoding="utf-8").read(), machine[1])
+    _ENCODER[:] = [encoder]  # its kept units are part of the test
+    for part in (texts, [*texts, "", "a<|endoftext|> b    c", *texts]):
+        ids, n = encoder.encode(pa.array(part, pa.string()))
+        ends = np.cumsum(n)
+        assert [ids[e - k:e].tolist() for e, k in zip(ends, n)] == [library.encode(t, add_special_tokens=False).ids for t in part]
+
+
+_ENCODER = []

@@ -11,10 +11,8 @@ order of their texts. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from vestigia.llm import automata
+from vestigia.llm import automata, unit_ids
 from vestigia.llm.common import new_folder, table, worker_state
 from vestigia.llm.pieces import vocabulary
 from vestigia.llm.words import slices
 
 BLOCK = 256
-CACHE = 400_000
-TOGETHER_BYTES = 4_000_000
+TOGETHER_BYTES, SEGMENT_BYTES = 16_000_000, 4_000_000
 END_ID = 0
 ESCAPE = 0
 # Ids in a word and bits of each, by selector; selector 0 is the escape.
@@ -128,61 +125,6 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out[:, :BLOCK].ravel()[:n]
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they are first asked for; `new` lists those not seen before."""
-
-    def __init__(self, *args):
-        super().__init__(*args)
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
-        return number
-
-
-class IdEncoder:
-    """Ids of texts by the tokenizers library; each distinct pretoken is encoded once, as long as it is kept."""
-
-    def __init__(self, data: str, classes: np.ndarray):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.classes = Tokenizer.from_str(data), classes
-        self.special = automata.special_tokens(data)
-        self.pattern = automata.special_pattern(self.special)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known = _Numbers((t, i) for i, t in enumerate(self.special))
-        self.flat = np.array(list(self.special.values()), np.uint32)
-        self.sizes, self.starts = np.ones(len(self.known), np.int64), np.arange(len(self.known))
-
-    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pretokens, one after the other, and the number of each."""
-        parts = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        return np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum())), sizes
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text followed by END_ID, and the number of each text's ids with the end."""
-        words, first = automata.split_texts(texts, self.classes, self.pattern)
-        if len(self.known) > CACHE:
-            self._reset()
-        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        if self.known.new:
-            flat, sizes = self._encoded(self.known.new)
-            self.known.new = []
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, flat])
-        sizes = self.sizes[index]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        n = ends[first[1:]] - ends[first[:-1]]
-        ids = self.flat[np.repeat(self.starts[index] - ends[:-1], sizes) + np.arange(ends[-1])]
-        return np.insert(ids, np.cumsum(n), END_ID), n + 1
-
-
 SEGMENT = "part long, first_start long, doc_ids array<long>, sizes array<int>, block_offsets array<int>, words binary"
 
 
@@ -194,19 +136,22 @@ def write_ids(docs: DataFrame, path: str, folder: str) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, classes = shared.value
-        encoder = worker_state(("ids", zlib.crc32(data.encode())), lambda: IdEncoder(data, classes))
+        encoder = worker_state(("byte units", zlib.crc32(data.encode())), lambda: unit_ids.byte_level(data, classes))
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = pc.fill_null(batch["text"], "")
             for a, b in slices(texts, TOGETHER_BYTES):
-                ids, sizes = encoder.encode(texts[a:b].to_pylist())
-                words, offsets = pack(ids)
-                row = {"part": part, "first_start": start, "doc_ids": batch["doc_id"][a:b].to_pylist(), "sizes": sizes.tolist(),
-                       "block_offsets": offsets.tolist(), "words": words.astype("<u8").tobytes()}
-                start += len(ids)
-                yield pa.RecordBatch.from_pylist([row], pa.schema([
-                    ("part", pa.int64()), ("first_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
-                    ("sizes", pa.list_(pa.int32())), ("block_offsets", pa.list_(pa.int32())), ("words", pa.binary())]))
+                ids, sizes = encoder.encode(texts[a:b])
+                ids, sizes = np.insert(ids, np.cumsum(sizes), END_ID), sizes + 1
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                for c, d in slices(texts[a:b], SEGMENT_BYTES):
+                    words, offsets = pack(ids[ends[c]:ends[d]])
+                    row = {"part": part, "first_start": start, "doc_ids": batch["doc_id"][a + c:a + d].to_pylist(), "sizes": sizes[c:d].tolist(),
+                           "block_offsets": offsets.tolist(), "words": words.astype("<u8").tobytes()}
+                    start += int(ends[d] - ends[c])
+                    yield pa.RecordBatch.from_pylist([row], pa.schema([
+                        ("part", pa.int64()), ("first_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+                        ("sizes", pa.list_(pa.int32())), ("block_offsets", pa.list_(pa.int32())), ("words", pa.binary())]))
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id")
     ordered.sortWithinPartitions("doc_id", "text").mapInArrow(run, SEGMENT).write.parquet(folder)
