@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vestigia.operators import compare
-from vestigia.operators.common import join_reduced
-from vestigia.operators.graph import connected_groups
 
 # Weight of each fingerprint dimension.
 DIMENSION_WEIGHTS = {"structural": 0.2, "font": 0.25, "metadata": 0.2, "style": 0.15, "content": 0.2}
@@ -75,34 +73,6 @@ def exact_resemblance(members: DataFrame, text: str) -> DataFrame:
                         F.round(common / F.greatest(union, F.lit(1)), 6).alias("resemblance"))
 
 
-BANDS, BAND_ROWS = 8, 4
-BAND_FACTORS = [(2_654_435_761 * (2 * k + 1)) % (1 << 30) | 1 for k in range(BANDS * BAND_ROWS)]
-
-
-def near_duplicate_groups(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Groups of similar documents over the whole corpus: `(doc_id, group_id, resemblance)` for each member of a group of two or
-    more. Documents meet in bands of minimum hashes; the groups are the connected ones, named by their first document, and each
-    member carries its exact share of common shingles with that document. No pairs are built."""
-    # A filter on the list would be moved below it and build the words again for every shingle; the outer form has none.
-    shingles = with_shingles(df.select(F.col(key).alias("doc_id"), text), text, "_s").select("doc_id", F.explode_outer("_s").alias("_s"))
-    digest = F.md5("_s")
-    halves = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") for i in (0, 1)]
-    hashed = shingles.select("doc_id", halves[0].alias("_a"), halves[1].alias("_b"))
-    lows = hashed.groupBy("doc_id").agg(*[F.min((F.col("_a") * f + F.col("_b")) % (1 << 32)).alias(f"_m{k}") for k, f in enumerate(BAND_FACTORS)],
-                                         F.count("_a").alias("_n")).filter(F.col("_n") >= MIN_SHINGLES)
-    bands = [F.concat_ws(":", F.lit(b), *[F.col(f"_m{b * BAND_ROWS + r}") for r in range(BAND_ROWS)]) for b in range(BANDS)]
-    groups = connected_groups(lows.select("doc_id", F.explode(F.array(*bands)).alias("id")))
-    others = groups.filter("label <> doc_id")
-    members = others.union(others.select(F.col("label").alias("doc_id"), "label").distinct())
-    owned = join_reduced(hashed, members, "doc_id")
-    first = owned.filter("doc_id = label").select("label", "_a", "_b", F.lit(1).alias("_in"))
-    joined = owned.join(first, ["label", "_a", "_b"], "left")
-    counts = joined.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("_n"), F.count("_in").alias("_c"))
-    sizes = counts.filter("doc_id = label").select("label", F.col("_n").alias("_f"))
-    share = F.col("_c") / (F.col("_n") + F.col("_f") - F.col("_c"))
-    return join_reduced(counts, sizes, "label").select("doc_id", F.col("label").alias("group_id"), F.round(share, 6).alias("resemblance"))
-
-
 def grid_clusters(points: DataFrame, keys: list[str], x: str, y: str, cell: float = 10, min_size: int = 3) -> DataFrame:
     """Points grouped by grid cell with their centroid. Unlike a greedy walk the result does not depend on
     the order of the points."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vestigia.operators import set_similarity
 from vestigia.operators import similarity as sm
 from vestigia.operators.structure import type_distribution
 from vestigia.plans import bindings as b
@@ -67,23 +68,21 @@ def near_duplicates(spark, folder):
     return sm.exact_resemblance(members, "text")
 
 
-LOWS = ", ".join(f"min((a * {f} + b) % {1 << 32}) AS m{k}" for k, f in enumerate(sm.BAND_FACTORS))
-BAND_IDS = ", ".join("concat_ws(':', " + ", ".join([str(i), *[f"m{i * sm.BAND_ROWS + r}" for r in range(sm.BAND_ROWS)]]) + ")" for i in range(sm.BANDS))
+WORDS = r"[^\x20\x09-\x0D]+"
+SETS = rf"""tw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS t FROM documents),
+ss AS (SELECT doc_id, CASE WHEN len(t) >= 5 THEN list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')))
+ WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END AS s FROM tw)"""
 
 
-@query("near_duplicate_groups", f"""WITH RECURSIVE {SH}, x AS (SELECT doc_id, ('0x' || substr(md5(g), 1, 8))::BIGINT AS a, ('0x' || substr(md5(g), 9, 8))::BIGINT AS b
- FROM (SELECT doc_id, unnest(s) AS g FROM sh WHERE len(s) >= {sm.MIN_SHINGLES})),
-lo AS (SELECT doc_id, {LOWS} FROM x GROUP BY 1), ids AS (SELECT doc_id, unnest([{BAND_IDS}]) AS id FROM lo),
-pr AS (SELECT DISTINCT p.doc_id AS x, q.doc_id AS y FROM ids p JOIN ids q USING (id)),
-rc AS (SELECT x, y FROM pr UNION SELECT rc.x, pr.y FROM rc JOIN pr ON pr.x = rc.y),
-g AS (SELECT x AS doc_id, min(y) AS label FROM rc GROUP BY 1 HAVING count(*) > 1),
-n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1),
-c AS (SELECT g.doc_id, g.label, count(*) AS c FROM g JOIN x p ON p.doc_id = g.doc_id JOIN x q ON q.doc_id = g.label AND p.a = q.a AND p.b = q.b GROUP BY 1, 2)
-SELECT g.doc_id, g.label AS group_id, round(coalesce(c, 0) / (n1.n + n2.n - coalesce(c, 0)), 6) AS resemblance FROM g LEFT JOIN c USING (doc_id)
- JOIN n n1 ON n1.doc_id = g.doc_id JOIN n n2 ON n2.doc_id = g.label""")
+@query("near_duplicate_groups", f"""WITH RECURSIVE {SETS}, n AS (SELECT doc_id, len(s) AS n FROM ss), x AS (SELECT doc_id, hash(e) AS e FROM (SELECT doc_id, unnest(s) AS e FROM ss)),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM x a JOIN x b USING (e) GROUP BY ALL),
+j AS (SELECT x, y, c / (p.n + q.n - c) AS share, 100 * c >= 80 * (p.n + q.n - c) AS linked FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y),
+l AS (SELECT x, y FROM j WHERE linked), rc AS (SELECT x, y FROM l UNION SELECT rc.x, l.y FROM rc JOIN l ON l.x = rc.y),
+g AS (SELECT x AS doc_id, min(y) AS group_id FROM rc GROUP BY 1 HAVING count(*) > 1)
+SELECT doc_id, group_id, round(coalesce(share, 0), 6) AS resemblance FROM g LEFT JOIN j ON j.x = doc_id AND j.y = group_id""")
 def near_duplicate_groups(spark, folder):
-    """Groups of similar documents over the whole corpus."""
-    return sm.near_duplicate_groups(table(spark, folder, "documents"), "doc_id", "text")
+    """Groups over the whole corpus of documents that share at least 80 percent of their five-word shingles."""
+    return set_similarity.near_duplicate_groups(table(spark, folder, "documents"))
 
 
 BITS = " + ".join(f"CASE WHEN sum(CASE WHEN (h >> {i}) & 1 = 1 THEN 1 ELSE -1 END) > 0 THEN {1 << i}::UBIGINT ELSE 0::UBIGINT END" for i in range(64))
