@@ -1,13 +1,11 @@
 """Object graphs of many documents at once: breadth-first walks, edge kinds, trees, groups.
 
-Every round handles the frontier of all documents in one join and one aggregate. Each round's result is
+Every round handles the nodes of all documents in one join and one aggregate. Each round's result is
 written to the shared checkpoint folder, so lost executors re-read it and the plan stays short.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,23 +22,109 @@ NODE_TYPES = {
 DEEP_NESTING = 20
 
 
+# Names of nodes inside the walk, so that no name of a node can be the common root's.
+_ROOT = "r"
+
+
+def _hung(edges: DataFrame) -> DataFrame:
+    """Nodes whose edges all come from one node: `(doc_id, node, anchor, dist, k, open)`, with the nearest node above that is none of them.
+    Pointers are doubled, so rounds grow with the logarithm of the depth. `open` nodes hang on a cycle and are never reached."""
+    hang = edges.groupBy("doc_id", F.col("dst").alias("node")).agg(
+        F.min("src").alias("anchor"), F.max("src").alias("_b"), F.min("w").alias("dist"), F.min_by("k", "w").alias("k")).filter("anchor = _b").drop("_b")
+    hang = cut_lineage(hang.withColumn("open", F.lit(True)))
+    before = None
+    while True:
+        up = hang.select("doc_id", F.col("node").alias("anchor"), F.col("anchor").alias("_a"), F.col("dist").alias("_d"), F.col("k").alias("_k"))
+        hang = cut_lineage(hang.join(up, ["doc_id", "anchor"], "left").select(
+            "doc_id", "node", F.coalesce("_a", "anchor").alias("anchor"), (F.col("dist") + F.coalesce("_d", F.lit(0))).alias("dist"),
+            (F.col("k") * F.coalesce("_k", F.lit(1))).alias("k"), F.col("_a").isNotNull().alias("open")))
+        still = hang.filter("open").count()
+        if still in (0, before):
+            return hang
+        before = still
+
+
+def _merged(edges: DataFrame) -> DataFrame:
+    """One edge a pair of nodes: the least length and the number of ways of that length."""
+    return edges.groupBy("doc_id", "src", "dst", "w").agg(F.sum("k").alias("k")).groupBy("doc_id", "src", "dst").agg(
+        F.min_by("k", "w").alias("k"), F.min("w").alias("w"))
+
+
+def _contracted(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Hangs nodes on the only node that leads to them and draws their edges to it, again and again. Returns what was hung, level by
+    level, and the edges that are left: none for graphs whose cycles have one entrance, as all trees and diamonds."""
+    levels = []
+    edges = cut_lineage(_merged(edges))
+    while True:
+        hang = _hung(edges)
+        if hang.isEmpty():
+            return levels, edges
+        levels.append(hang.filter("NOT open").drop("open"))
+        gone = hang.select("doc_id", F.col("node").alias("dst"))
+        above = hang.select("doc_id", F.col("node").alias("src"), F.col("anchor").alias("_a"), F.col("dist").alias("_d"), F.col("k").alias("_k"), "open")
+        left = edges.join(gone, ["doc_id", "dst"], "left_anti").join(above, ["doc_id", "src"], "left").filter("NOT coalesce(open, false)")
+        edges = cut_lineage(_merged(left.select(
+            "doc_id", F.coalesce("_a", "src").alias("src"), "dst", (F.col("w") + F.coalesce("_d", F.lit(0))).alias("w"),
+            (F.col("k") * F.coalesce("_k", F.lit(1))).alias("k")).filter("src <> dst")))
+        if edges.isEmpty():
+            return levels, edges
+
+
+def _spread(levels: list[DataFrame], known: DataFrame) -> DataFrame:
+    """Distances and numbers of ways of hung nodes from those of their anchors, from the last level to the first."""
+    for level in reversed(levels):
+        at = known.select("doc_id", F.col("node").alias("anchor"), F.col("depth").alias("_d"), F.col("k").alias("_k"))
+        found = level.join(at, ["doc_id", "anchor"]).select("doc_id", "node", (F.col("dist") + F.col("_d")).alias("depth"), (F.col("k") * F.col("_k")).alias("k"))
+        known = cut_lineage(known.union(found))
+    return known
+
+
+def _relaxed(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Least distances over the edges that could not be contracted. One table of all nodes reached; a round follows the nodes that came nearer."""
+    reached = cut_lineage(start.select("doc_id", "node", "depth"))
+    front = reached
+    while True:
+        near = front.join(edges.withColumnRenamed("src", "node"), ["doc_id", "node"]).groupBy("doc_id", F.col("dst").alias("node")).agg(
+            F.min(F.col("depth") + F.col("w")).alias("_d"))
+        merged = cut_lineage(reached.join(near, ["doc_id", "node"], "full").select(
+            "doc_id", "node", F.least("depth", "_d").alias("depth"), (F.col("depth").isNull() | (F.col("_d") < F.col("depth"))).alias("_nearer")))
+        reached, front = merged.drop("_nearer"), merged.filter("_nearer").drop("_nearer")
+        if front.isEmpty():
+            return reached
+
+
+def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """`(doc_id, node, depth, k)`: nodes reachable from the roots, with the smallest depth and the number of shortest ways.
+
+    Nodes with a single way in are hung on the node before by pointer doubling, which resolves trees, chains and nested diamonds in rounds that
+    grow with the logarithm of their depth. Only cycles that are entered at several places are walked round by round."""
+    roots = roots.select("doc_id", "node").distinct()
+    named = F.concat(F.lit("n"), F.col("node"))
+    first = cut_lineage(roots.select("doc_id", named.alias("_r")))
+    plain = edges.select("doc_id", *[F.concat(F.lit("n"), F.col(c)).alias(c) for c in ("src", "dst")]).filter("src <> dst").distinct()
+    into = plain.join(first.withColumnRenamed("_r", "dst"), ["doc_id", "dst"], "left_anti")
+    start = first.select("doc_id", F.col("_r").alias("src"), F.lit(True).alias("_root"))
+    graph = into.join(start, ["doc_id", "src"], "left").select(
+        "doc_id", F.when(F.col("_root"), F.lit(_ROOT)).otherwise(F.col("src")).alias("src"), "dst", F.lit(1).cast("long").alias("w"),
+        F.lit(1).cast("decimal(38,0)").alias("k"))
+    levels, rest = _contracted(graph)
+    known = first.select("doc_id").distinct().select("doc_id", F.lit(_ROOT).alias("node"), F.lit(0).cast("long").alias("depth"), F.lit(1).cast("decimal(38,0)").alias("k"))
+    if not rest.isEmpty():
+        far = _relaxed(rest, known)
+        a = far.select("doc_id", F.col("node").alias("src"), F.col("depth").alias("_a"))
+        b = far.select("doc_id", F.col("node").alias("dst"), F.col("depth").alias("_b"))
+        tight = rest.join(a, ["doc_id", "src"]).join(b, ["doc_id", "dst"]).filter("_a + w = _b").select("doc_id", "src", "dst", "w", "k")
+        known = _spread(_contracted(tight)[0], known)  # without cycles nothing is left
+    all_of = _spread(levels, known).filter(F.col("node") != _ROOT)
+    return first.select("doc_id", F.col("_r").alias("node"), F.lit(0).cast("long").alias("depth"), F.lit(1).cast("decimal(38,0)").alias("k")).union(all_of).select(
+        "doc_id", F.substring("node", F.lit(2), F.length("node")).alias("node"), "depth", "k")
+
+
 def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Nodes `(doc_id, node, depth)` reachable from the roots, with the smallest depth. Each node enters
-    the frontier once, so a graph with cycles ends; the work of a round follows the frontier."""
-    edges = cut_lineage(edges.select("doc_id", "src", "dst"))  # once, not in every round
-    frontier = cut_lineage(roots.select("doc_id", "node").distinct().withColumn("depth", F.lit(0)))
-    layers = [frontier]
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        reached = frontier.select("doc_id", F.col("node").alias("src")).join(edges, ["doc_id", "src"]).select(
-            "doc_id", F.col("dst").alias("node")).distinct()
-        visited = reduce(DataFrame.unionByName, layers).select("doc_id", "node")
-        frontier = cut_lineage(reached.join(visited, ["doc_id", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        layers.append(frontier)
-    return reduce(DataFrame.unionByName, layers)
+    """Nodes `(doc_id, node, depth)` reachable from the roots, with the smallest depth."""
+    nodes = walk(edges, roots)
+    within = nodes if max_depth is None else nodes.filter(F.col("depth") <= max_depth)
+    return within.select("doc_id", "node", F.col("depth").cast("int").alias("depth"))
 
 
 def graph_summary(nodes: DataFrame) -> DataFrame:
@@ -78,22 +162,39 @@ def node_type(key: Column) -> Column:
     return F.coalesce(*[F.when(key == k, v) for k, v in NODE_TYPES.items()], F.lit("Object"))
 
 
+def _first_parents(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`(doc_id, node, up)`: the parent of smallest depth, then of smallest name."""
+    parents = nodes.select("doc_id", F.col("node").alias("src"), F.col("depth").alias("_d"))
+    below = nodes.filter("depth > 0").select("doc_id", F.col("node").alias("dst"))
+    return edges.select("doc_id", "src", "dst").filter("src <> dst").join(parents, ["doc_id", "src"]).join(below, ["doc_id", "dst"], "left_semi").groupBy(
+        "doc_id", F.col("dst").alias("node")).agg(F.min_by("src", F.struct("_d", "src")).alias("up"))
+
+
 def tree_flatten(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Leaves with their path from the root, however deep, or down to `max_depth` levels. A node is not entered again on its
-    own path, so a cycle ends where it closes."""
-    level = roots.select("doc_id", "node").withColumns({"path": F.col("node"), "depth": F.lit(0)})
-    leaves = []
-    children = edges.select("doc_id", F.col("src").alias("node"), F.col("dst").alias("_child"))
-    parents = children.select("doc_id", "node").distinct()
-    while max_depth is None or len(leaves) <= max_depth:
-        level = cut_lineage(level)
-        if level.isEmpty():
-            break
-        leaves.append(join_reduced(level, parents, ["doc_id", "node"], "left_anti"))
-        entered = F.contains(F.concat(F.lit("/"), "path", F.lit("/")), F.concat(F.lit("/"), "_child", F.lit("/")))
-        level = level.join(children, ["doc_id", "node"]).filter(~entered).select(
-            "doc_id", F.col("_child").alias("node"), F.concat_ws("/", "path", "_child").alias("path"), (F.col("depth") + 1).alias("depth"))
-    return reduce(DataFrame.unionByName, leaves) if leaves else level
+    """Leaves `(doc_id, node, path, depth, n_paths)`: one row a leaf, whatever the number of ways to it, with the names on its first shortest path
+    and the number of shortest paths. However deep, or down to `max_depth` levels; cycles are never entered.
+
+    Ancestors are looked up by doubled pointers: the tables hold the node one, two, four … levels up, and a leaf's path is put together from
+    the widest step down, so rounds grow with the logarithm of the depth and rows with the length of the paths."""
+    edges = cut_lineage(edges.select("doc_id", "src", "dst"))
+    nodes = cut_lineage(walk(edges, roots))
+    within = nodes if max_depth is None else nodes.filter(F.col("depth") <= max_depth)
+    parents = edges.filter("src <> dst").select("doc_id", F.col("src").alias("node")).distinct()
+    leaves = cut_lineage(within.join(parents, ["doc_id", "node"], "left_anti"))
+    step = cut_lineage(_first_parents(edges, nodes))
+    steps = []
+    while not step.isEmpty():
+        steps.append(step)
+        wide = step.select("doc_id", F.col("node").alias("up"), F.col("up").alias("_up"))
+        step = cut_lineage(step.join(wide, ["doc_id", "up"]).select("doc_id", "node", F.col("_up").alias("up")))
+    on_path = leaves.select("doc_id", F.col("node").alias("leaf"), "node", F.lit(0).alias("above"))
+    for k in reversed(range(len(steps))):
+        met = on_path.join(steps[k], ["doc_id", "node"]).select("doc_id", "leaf", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
+        on_path = cut_lineage(on_path.union(met))
+    paths = on_path.groupBy("doc_id", "leaf").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("above", "node")), asc=False), lambda x: x["node"]), "/").alias("path"))
+    return leaves.join(paths.withColumnRenamed("leaf", "node"), ["doc_id", "node"]).select(
+        "doc_id", "node", "path", F.col("depth").cast("int").alias("depth"), F.col("k").alias("n_paths"))
 
 
 def hooked(met: DataFrame, key: str) -> DataFrame:

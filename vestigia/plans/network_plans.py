@@ -100,7 +100,7 @@ def is_suspicious_url(spark, folder):
 SHORT = ", ".join(sql_text(s) for s in net.URL_SHORTENERS)
 
 
-@query("suspicious_indicators", f"""WITH u AS (SELECT page_id, {HOSTED} AS url FROM pages)
+@query("suspicious_indicators", rf"""WITH u AS (SELECT page_id, {HOSTED} AS url FROM pages)
 SELECT page_id, url, {d_host('url')} AS host, CASE WHEN contains(lower(url), '.onion') THEN 'onion'
  WHEN regexp_replace({d_host('url')}, '^www\.', '') IN ({SHORT}) THEN 'shortener' ELSE 'domain' END AS reason FROM u WHERE {d_susp('url')}""")
 def suspicious_indicators(spark, folder):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +45,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that a lost executor re-reads a file instead of replaying the rounds."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
-    return df.checkpoint(eager=True)
+    """Writes to the shared folder and reads back, so that a lost executor re-reads a file instead of replaying the rounds. A written table,
+    unlike a checkpoint, also forgets what the optimizer derived from the plan, which doubles with every round of a loop."""
+    folder = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
