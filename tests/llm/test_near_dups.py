@@ -8,7 +8,7 @@ from vestigia.llm import near_dups
 from vestigia.llm.common import components
 
 
-def brute(docs):
+def brute(docs, share=85):
     """Sizes and component ids by comparing all pairs."""
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
@@ -27,7 +27,7 @@ def brute(docs):
         for b in ids[n + 1:]:
             x, y = sets[a], sets[b]
             both = len(x & y)
-            if both and 100 * both >= 85 * (len(x) + len(y) - both):
+            if both and 100 * both >= share * (len(x) + len(y) - both):
                 p, q = sorted((root(a), root(b)))
                 low[q] = p
     return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}

@@ -17,7 +17,7 @@ def test_run_is_the_brute_force_pipeline(spark):
     judged = quality_rules.judged(table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")).collect()
     left = {r.doc_id: docs[r.doc_id] for r in judged if r.kept}
     assert all(r.fired_rule or r.base_failed for r in judged if not r.kept)
-    left = {i: left[i] for i, (_, _, kept) in brute(list(left.items())).items() if kept}
+    left = {i: left[i] for i, (_, _, kept) in brute(list(left.items()), 80).items() if kept}
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     windows = set()
     for r in table(spark, FOLDER, "benchmark").collect():

@@ -19,7 +19,7 @@ import pyarrow as pa
 from vestigia.llm import automata
 from vestigia.llm.words import _BLANK, text_bytes
 
-CACHE = 600_000
+CACHE = 250_000
 KEPT_BYTES = 64
 Fresh = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 # White space beyond ASCII (by UTF-8 bytes), and the control characters that some libraries count as white space.
@@ -120,17 +120,18 @@ class UnitIds:
 
 
 class _Pretokens:
-    """Ids of pretokens by the library's model; each is looked up once, as long as it is kept."""
+    """Ids of pretokens by the library's model. Two generations are kept: when the younger is full, it becomes the older one."""
 
-    def __init__(self, tokenizer):
-        self.tokenize, self.ids = tokenizer.model.tokenize, {}
+    def __init__(self, tokenizer, fixed: dict[str, list[int]] | None = None):
+        self.tokenize, self.fixed = tokenizer.model.tokenize, fixed or {}
+        self.young, self.old = dict(self.fixed), {}
 
     def __call__(self, words: list[str], shown: Callable[[str], str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.ids) > CACHE:
-            self.ids = {}
-        known, tokenize = self.ids, self.tokenize
+        if len(self.young) > CACHE // 2:
+            self.young, self.old = dict(self.fixed), self.young
+        known, old, tokenize = self.young, self.old, self.tokenize
         for w in set(words) - known.keys():
-            known[w] = [t.id for t in tokenize(shown(w))]
+            known[w] = old.get(w) or [t.id for t in tokenize(shown(w))]
         parts = list(map(known.__getitem__, words))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         return np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum())), sizes
@@ -154,16 +155,13 @@ def byte_level(data: str, classes: np.ndarray) -> UnitIds:
     special = automata.special_tokens(data)
     pattern = automata.special_pattern(special)
     characters = {b: c for c, b in automata._byte_characters().items()}
-    ids = _Pretokens(tokenizer)
-    ids.ids = {w: [i] for w, i in special.items()}
+    ids = _Pretokens(tokenizer, {w: [i] for w, i in special.items()})
 
     def fresh(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if pattern and pattern.search("\n".join(units)):
             words, first = automata.split_texts(units, classes, pattern)
         else:
             words, first = automata.pretokens(units, classes)
-        if len(ids.ids) > CACHE:
-            ids.ids = {w: [i] for w, i in special.items()}
         flat, sizes = ids(words, lambda w: w.encode().decode("latin-1").translate(characters))
         return flat, _grouped(sizes, first)
 
