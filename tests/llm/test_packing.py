@@ -76,7 +76,7 @@ def test_small_slices_and_little_cache_give_the_same_ids(monkeypatch):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=12), max_size=8))
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.characters(min_codepoint=0x21, max_codepoint=0x180)), max_size=12), max_size=8))
 def test_any_text_has_the_ids_of_the_library(texts):
     import pyarrow as pa
 

@@ -27,7 +27,7 @@ from vestigia.llm import unit_ids
 from vestigia.llm.common import stored, table, worker_state
 from vestigia.llm.pieces import vocabulary
 
-TOGETHER_BYTES = 6_000_000
+TOGETHER_BYTES = 8_000_000
 POOL = 2048
 END_ID = 2
 

@@ -2,7 +2,7 @@
 
 A unit is a run of characters that the tokenizer encodes alike wherever it stands: a word between ASCII blanks, with the blanks before it
 where the tokenizer keeps blanks. Units are cut and numbered over a whole slice of texts with Arrow; only units not met before reach
-the library. Up to CACHE units are kept; beyond that those not used for longest go.
+the library. Up to CACHE units are kept; beyond that those met in the fewest slices go.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Callable
 from itertools import chain, repeat
 
@@ -17,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 
 from vestigia.llm import automata
-from vestigia.llm.words import _BLANK, text_bytes
+from vestigia.llm.words import _BLANK, _LOWER, text_bytes
 
-CACHE = 250_000
+CACHE, PRETOKENS = 400_000, 60_000
 KEPT_BYTES = 64
 Fresh = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 # White space beyond ASCII (by UTF-8 bytes), and the control characters that some libraries count as white space.
@@ -71,22 +72,23 @@ def _strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 class UnitIds:
     """Ids of slices of texts. `fresh` gives the ids of new units, one after the other, and the number of each."""
 
+    # Tokenizers that drop blanks here also lower-case; ASCII letters are lowered before units are compared, unless an added token, which
+    # is matched before that, may be in the slice.
     def __init__(self, fresh: Fresh, keeps_blanks: bool):
         self.fresh, self.keeps_blanks = fresh, keeps_blanks
         self.number: dict[str, int] = {}
         self.flat, self.sizes, self.starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.used = np.zeros(0, np.int64)
-        self.slice = 0
+        self.slices = np.zeros(0, np.int64)  # in how many each unit was met, halved whenever units are forgotten
 
     def _forget(self) -> None:
-        keep = np.sort(np.argpartition(-self.used, CACHE // 2)[:CACHE // 2])
-        new = np.full(len(self.used), -1)
+        keep = np.sort(np.argpartition(-self.slices, 2 * CACHE // 3)[:2 * CACHE // 3])
+        new = np.full(len(self.slices), -1)
         new[keep] = np.arange(len(keep))
         self.number = {w: k for w, k in zip(self.number, new[np.fromiter(self.number.values(), np.int64, len(self.number))].tolist()) if k >= 0}
         sizes = self.sizes[keep]
         ends = np.cumsum(sizes)
         self.flat = self.flat[np.repeat(self.starts[keep] - ends + sizes, sizes) + np.arange(sizes.sum())]
-        self.sizes, self.starts, self.used = sizes, ends - sizes, self.used[keep]
+        self.sizes, self.starts, self.slices = sizes, ends - sizes, self.slices[keep] // 2
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of each text's ids."""
@@ -94,12 +96,11 @@ class UnitIds:
         if self.keeps_blanks:
             units, first = blank_led_words(data, offsets, with_wide_blanks(data, offsets))
         else:
-            units, first = words_of(data, offsets)
+            units, first = words_of(data if b"<|" in data.tobytes() else _LOWER[data], offsets)
         coded = units.dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.number) > CACHE:
             self._forget()
-        self.slice += 1
         numbers = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(numbers < 0).tolist()
         if new:
@@ -110,8 +111,8 @@ class UnitIds:
             numbers[new] = np.arange(base, base + len(new))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
             self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
-            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
-        self.used[numbers] = self.slice
+            self.slices = np.concatenate([self.slices, np.zeros(len(new), np.int64)])
+        self.slices[numbers] += 1
         index = numbers[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.int64)
         sizes = self.sizes[index]
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -127,7 +128,7 @@ class _Pretokens:
         self.young, self.old = dict(self.fixed), {}
 
     def __call__(self, words: list[str], shown: Callable[[str], str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.young) > CACHE // 2:
+        if len(self.young) > PRETOKENS:
             self.young, self.old = dict(self.fixed), self.young
         known, old, tokenize = self.young, self.old, self.tokenize
         for w in set(words) - known.keys():
@@ -168,23 +169,32 @@ def byte_level(data: str, classes: np.ndarray) -> UnitIds:
     return UnitIds(fresh, True)
 
 
+def _simple_letters() -> str:
+    """Letters beyond ASCII, up to U+017F, that composition leaves alone and whose lower case is one letter."""
+    letters = map(chr, range(0xC0, 0x180))
+    return "".join(c for c in letters if unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1)
+
+
 def word_level(data: str) -> UnitIds:
-    """For a tokenizer that drops blanks. New ASCII units are split by the tokenizer's own pattern read over ASCII and encoded by its
-    model; all others are encoded by the whole tokenizer."""
+    """For a tokenizer that drops blanks. New units of ASCII and Latin letters are split by the tokenizer's own pattern read over those letters
+    and encoded by its model; all others are encoded by the whole tokenizer."""
     tokenizer, parts = _library(data), json.loads(data)
     pattern = automata.special_pattern(automata.special_tokens(data))
     rule = parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
     if [n["type"] for n in parts["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"] or [
             p["type"] for p in parts["pre_tokenizer"]["pretokenizers"]] != ["Split", "ByteLevel"]:
         raise ValueError("a tokenizer of another make")
-    split = re.compile(rule.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII)
-    ids = _Pretokens(tokenizer)
+    letters = _simple_letters()
+    split = re.compile(rule.replace(r"\p{L}", "a-z" + letters).replace(r"\p{N}", "0-9"), re.ASCII)
+    is_plain = re.compile(f"[\x21-\x7e{letters}]+").fullmatch
+    characters = {b: c for c, b in automata._byte_characters().items()}
 
-    def is_plain(unit: str) -> bool:
-        return unit.isascii() and unit.isprintable()
+    def shown(word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(characters)
+    ids = _Pretokens(tokenizer)
 
     def fresh(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        simple = np.fromiter(map(is_plain, units), bool, len(units))
+        simple = np.fromiter((is_plain(u) is not None for u in units), bool, len(units))
         if pattern and pattern.search("\n".join(units)):
             simple &= np.fromiter((pattern.search(u) is None for u in units), bool, len(units))
         easy = [u.lower() for u, s in zip(units, simple.tolist()) if s]
@@ -192,7 +202,7 @@ def word_level(data: str) -> UnitIds:
         # Words of a unit, counted by their characters: units hold no blanks and the pattern takes every other character.
         ends = np.cumsum([len(u) for u in easy])
         first = np.concatenate([[0], np.searchsorted(np.cumsum([len(w) for w in words]), ends) + 1]) if easy else np.zeros(1, np.int64)
-        flat, sizes = ids(words, str)
+        flat, sizes = ids(words, shown)
         own = [e.ids for e in tokenizer.encode_batch_fast([u for u, s in zip(units, simple.tolist()) if not s], add_special_tokens=False)]
         out = np.zeros(len(units), np.int64)
         out[simple], out[~simple] = _grouped(sizes, first), [len(x) for x in own]
