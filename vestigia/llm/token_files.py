@@ -28,7 +28,7 @@ from vestigia.llm.pieces import vocabulary
 from vestigia.llm.words import slices
 
 BLOCK = 256
-TOGETHER_BYTES, SEGMENT_BYTES = 8_000_000, 4_000_000
+TOGETHER_BYTES, SEGMENT_BYTES = 12_000_000, 4_000_000
 END_ID = 0
 ESCAPE = 0
 # Ids in a word and bits of each, by selector; selector 0 is the escape.
