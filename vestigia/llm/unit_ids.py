@@ -20,7 +20,7 @@ import pyarrow as pa
 from vestigia.llm import automata
 from vestigia.llm.words import _BLANK, _LOWER, text_bytes
 
-CACHE, PRETOKENS = 600_000, 250_000
+CACHE, PRETOKENS = 600_000, 300_000
 KEPT_BYTES = 64
 Fresh = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 # White space beyond ASCII (by UTF-8 bytes), and the control characters that some libraries count as white space.
