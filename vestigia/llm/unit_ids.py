@@ -11,6 +11,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable
 from itertools import chain, repeat
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from vestigia.llm import automata
 from vestigia.llm.words import _BLANK, _LOWER, text_bytes
 
-CACHE, PRETOKENS = 600_000, 300_000
+CACHE, PRETOKENS = 400_000, 300_000
 KEPT_BYTES = 64
 Fresh = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 # White space beyond ASCII (by UTF-8 bytes), and the control characters that some libraries count as white space.
@@ -121,10 +122,10 @@ class UnitIds:
 
 
 class _Pretokens:
-    """Ids of pretokens by the library's model. Two generations are kept: when the younger is full, it becomes the older one."""
+    """Ids of pretokens by the library's model, kept as bytes. Two generations are kept: when the younger is full, it becomes the older one."""
 
     def __init__(self, tokenizer, fixed: dict[str, list[int]] | None = None):
-        self.tokenize, self.fixed = tokenizer.model.tokenize, fixed or {}
+        self.tokenize, self.fixed = tokenizer.model.tokenize, {w: array("I", x).tobytes() for w, x in (fixed or {}).items()}
         self.young, self.old = dict(self.fixed), {}
 
     def __call__(self, words: list[str], shown: Callable[[str], str]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,10 +133,9 @@ class _Pretokens:
             self.young, self.old = dict(self.fixed), self.young
         known, old, tokenize = self.young, self.old, self.tokenize
         for w in set(words) - known.keys():
-            known[w] = old.get(w) or [t.id for t in tokenize(shown(w))]
+            known[w] = old.get(w) or array("I", [t.id for t in tokenize(shown(w))]).tobytes()
         parts = list(map(known.__getitem__, words))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        return np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum())), sizes
+        return np.frombuffer(b"".join(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
 
 
 def _grouped(sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
