@@ -295,3 +295,13 @@ def test_every_probe_is_searched(spark):
     assert {(r.doc_id, r.probe_id, r.n_probes, r.n_matches) for r in found} == {(i, {1: 100, 2: 200, 0: 300}[i % 3], 1, 99) for i in range(1, 301)}
     hot = matching.probe_groups(signed.withColumn("signature", F.array(F.lit(1))), "is_probe").collect()
     assert len(hot) == 302 and {(r.probe_id, r.n_probes, r.n_matches) for r in hot} == {(100, 4, 301)}
+
+
+def test_case_digest_counts_what_its_lists_cut(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, name string")
+    found = spark.createDataFrame([(1, "LOW", "c", "m", k) for k in range(7)], "doc_id long, severity string, category string, message string, finding_id long")
+    tools = spark.createDataFrame([(1, f"t{k:02d}") for k in range(12)] * 2, "doc_id long, value string")
+    rows = {r.doc_id: r for r in correlate.case_digest(docs, found, {"tools": (tools, 10)}, shown=5).collect()}
+    assert (len(rows[1].findings), rows[1].n_findings, len(rows[1].tools), rows[1].n_tools) == (5, 7, 10, 12)
+    assert rows[1].tools == [f"t{k:02d}" for k in range(10)]
+    assert rows[2].tools is None and rows[2].n_tools is None and rows[2].risk_level == "CLEAN"

@@ -95,16 +95,18 @@ def artifact_findings(artifacts: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def case_digest(documents: DataFrame, findings: DataFrame, lists: dict[str, tuple[DataFrame, int]], shown: int = 50) -> DataFrame:
     """Nested digest per document: counts, the worst findings and bounded lists; a section is present only
-    if it has entries. Lists are cut before they are gathered."""
+    if it has entries. Lists are cut before they are gathered; `n_findings` and `n_<list>` count all their entries."""
     counts = findings.groupBy("doc_id").agg(
-        F.max(severity_rank(F.col("severity"))).alias("_rank"),
+        F.count(F.lit(1)).alias("n_findings"), F.max(severity_rank(F.col("severity"))).alias("_rank"),
         *[count_where(F.col("severity") == s).alias(s.lower()) for s in ("HIGH", "MEDIUM", "LOW")])
     entry = findings.withColumn("_entry", F.struct("severity", "category", "message", "finding_id"))
     worst = first_k(entry, ["doc_id"], [severity_rank(F.col("severity")).desc(), F.col("finding_id")], "_entry", shown, "findings")
     joined = documents.join(counts, "doc_id", "left").join(worst, "doc_id", "left")
     for name, (df, k) in lists.items():
-        part = first_k(df.select("doc_id", "value").distinct(), ["doc_id"], [F.col("value")], "value", k, name)
-        joined = joined.join(part, "doc_id", "left")
+        values = df.select("doc_id", "value").distinct()
+        part = first_k(values, ["doc_id"], [F.col("value")], "value", k, name)
+        total = values.groupBy("doc_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
+        joined = joined.join(part, "doc_id", "left").join(total, "doc_id", "left")
     zero = {s: F.coalesce(s, F.lit(0)) for s in ("high", "medium", "low")}
     return joined.withColumns({**zero, "risk_level": rank_to_risk(F.coalesce("_rank", F.lit(-1)))}).drop("_rank")
 

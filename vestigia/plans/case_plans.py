@@ -123,17 +123,20 @@ def digest(spark, folder):
     return co.case_digest(docs, found, {"tools": (tools, 10), "sections": (sections, 15)})
 
 
-@query("evidence_digest", f"""WITH {EV}, {META}, c AS (SELECT doc_id, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low FROM ev GROUP BY 1),
+@query("evidence_digest", f"""WITH {EV}, {META}, c AS (SELECT doc_id, count(*) AS n_findings, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low FROM ev GROUP BY 1),
 f AS (SELECT doc_id, string_agg(finding_id, ',' ORDER BY rn) AS ids FROM (SELECT doc_id, finding_id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1
  WHEN 'LOW' THEN 2 ELSE 3 END, finding_id) AS rn FROM ev) WHERE rn <= 50 GROUP BY 1),
-t AS (SELECT author AS doc_id, string_agg(producer, '|' ORDER BY producer) AS tools FROM (SELECT DISTINCT author, producer FROM meta WHERE producer <> '') GROUP BY 1)
-SELECT c_custkey AS doc_id, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, CASE WHEN high > 0 THEN 'HIGH' WHEN medium > 0 THEN 'MEDIUM' WHEN low > 0 THEN 'LOW' ELSE 'CLEAN' END AS risk_level,
- ids AS finding_ids, tools FROM customer LEFT JOIN c ON c.doc_id = c_custkey LEFT JOIN f ON f.doc_id = c_custkey LEFT JOIN t ON t.doc_id = c_custkey""")
+t AS (SELECT author AS doc_id, string_agg(producer, '|' ORDER BY producer) AS tools, count(*) AS n_tools FROM (SELECT DISTINCT author, producer FROM meta WHERE producer <> '') GROUP BY 1),
+s AS (SELECT doc_id, count(*) AS n_sections FROM (SELECT DISTINCT doc_id, section FROM ev) GROUP BY 1)
+SELECT c_custkey AS doc_id, coalesce(n_findings, 0) AS n_findings, coalesce(n_tools, 0) AS n_tools, coalesce(n_sections, 0) AS n_sections, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, CASE WHEN high > 0 THEN 'HIGH' WHEN medium > 0 THEN 'MEDIUM' WHEN low > 0 THEN 'LOW' ELSE 'CLEAN' END AS risk_level,
+ ids AS finding_ids, tools FROM customer LEFT JOIN c ON c.doc_id = c_custkey LEFT JOIN f ON f.doc_id = c_custkey LEFT JOIN t ON t.doc_id = c_custkey LEFT JOIN s ON s.doc_id = c_custkey""")
 def evidence_digest(spark, folder):
     """The digest as JSON, read back into columns."""
-    schema = ("risk_level STRING, high BIGINT, medium BIGINT, low BIGINT, findings ARRAY<STRUCT<finding_id: BIGINT>>, tools ARRAY<STRING>")
+    schema = ("risk_level STRING, high BIGINT, medium BIGINT, low BIGINT, findings ARRAY<STRUCT<finding_id: BIGINT>>, tools ARRAY<STRING>, "
+              "n_findings BIGINT, n_tools BIGINT, n_sections BIGINT")
     text = co.digest_json(digest(spark, folder)).withColumn("d", F.from_json("digest", schema))
-    return text.select("doc_id", "d.high", "d.medium", "d.low", "d.risk_level", F.array_join(F.transform(
+    totals = [F.coalesce(f"d.{n}", F.lit(0)).alias(n) for n in ("n_findings", "n_tools", "n_sections")]
+    return text.select("doc_id", *totals, "d.high", "d.medium", "d.low", "d.risk_level", F.array_join(F.transform(
         "d.findings", lambda f: f["finding_id"].cast("string")), ",").alias("finding_ids"), F.array_join("d.tools", "|").alias("tools"))
 
 
