@@ -12,7 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vestigia.operators import ordered
 from vestigia.operators.common import first_k, join_reduced
+from vestigia.session import cut_lineage
 
 MIN_DOCUMENTS = 2
 MAX_DOCUMENTS = 4
@@ -79,6 +81,35 @@ def time_proximity_pairs(members: DataFrame, ts: str, key: str = "doc_id",
     )
 
 
+def time_proximity_groups(items: DataFrame, ts: str, key: str = "doc_id",
+                          window_seconds: int = TIME_WINDOW_SECONDS) -> DataFrame:
+    """`key, ts_us, class_id, n_links` over the whole corpus: the number of other items strictly less than the window apart, and the
+    smallest id that chains of such links reach. No pair is built: items are reduced to their times, every time lays a mark one window
+    before and after itself, and the running count over times and marks, in chunks of the order, gives the items between the marks.
+    A class begins where a time has no earlier one within the window.
+
+    Rows: a null time has no row; a null id counts as an item but is no class id; equal rows are items of their own."""
+    span = window_seconds * 1_000_000
+    timed = items.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us")).filter("ts_us IS NOT NULL")
+    times = cut_lineage(timed.groupBy("ts_us").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first")))
+    # At equal places the upper mark of one time stands before the items and the lower mark of another behind them.
+    mark = lambda at, k, w: F.struct(at.alias("_at"), F.lit(k).alias("_side"), w.cast("long").alias("_w"))
+    us = F.col("ts_us")
+    marks = times.select("ts_us", F.inline(F.array(mark(us + span, 0, F.lit(0)), mark(us, 1, F.col("_n")), mark(us - span, 2, F.lit(0)))))
+    place = [F.col("_at"), F.col("_side")]
+    swept = ordered.running_sum(ordered.with_range_chunk(marks, [], place), [], place, "_w", "_upto")
+    side = lambda k: F.max(F.when(F.col("_side") == k, F.col("_upto")))
+    counted = swept.groupBy("ts_us").agg(
+        (side(0) - side(2) - 1).alias("n_links"), (side(1) - F.max("_w") == side(2)).cast("long").alias("_start"), F.max("_w").alias("_n"))
+    by_time = [F.col("ts_us")]
+    numbered = cut_lineage(ordered.running_sum(
+        ordered.with_range_chunk(counted, [], by_time), [], by_time, "_start", "_class").drop(ordered.CHUNK))
+    first = numbered.join(times.select("ts_us", "_first"), "ts_us")
+    classes = first.groupBy("_class").agg(F.min("_first").alias("class_id"))
+    placed = join_reduced(numbered, classes, "_class").select("ts_us", "class_id", "n_links")
+    return join_reduced(timed, placed, "ts_us").select(key, "ts_us", "class_id", "n_links")
+
+
 def equal_value_pairs(members: DataFrame, column: str, out: str, key: str = "doc_id") -> DataFrame:
     """Pairs with the same non-empty value."""
     same = pairs(members, [column], key=key).filter(

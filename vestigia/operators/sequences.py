@@ -13,6 +13,7 @@ from vestigia.functions.numbers import label_text
 from vestigia.operators import ordered
 from vestigia.operators.common import join_reduced
 from vestigia.operators.structure import SMALL_REVISION, TRAILING_BYTES
+from vestigia.session import cut_lineage
 
 
 def first_occurrence(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
@@ -47,10 +48,12 @@ def revision_summary(df: DataFrame, text: str, marker: str, key: str = "doc_id")
 
 
 def label_spans(ranges: DataFrame, pages: DataFrame) -> DataFrame:
-    """Each label range with its end: the next start, or the page count for the last one."""
-    w = W.partitionBy("doc_id").orderBy("start")
-    joined = ranges.join(pages, "doc_id")
-    return joined.withColumn("end", F.coalesce(F.lead("start").over(w), F.col("page_count")))
+    """Each label range with its end: the next start, or the page count for the last one. Ranges of one start follow each other
+    by their other columns."""
+    order = [F.col("start"), *[F.col(c) for c in ranges.columns if c not in ("doc_id", "start")]]
+    chunked = ordered.with_range_chunk(ranges, ["doc_id"], order)
+    ended = ordered.following(chunked, ["doc_id"], order, "start", "_next").drop(ordered.CHUNK)
+    return ended.join(pages, "doc_id").withColumn("end", F.coalesce("_next", "page_count")).drop("_next")
 
 
 PAGE_BLOCK = 10_000
@@ -93,12 +96,11 @@ def united(sources: Sequence[DataFrame]) -> DataFrame:
 
 
 def timeline(sources: Sequence[DataFrame], keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Union of dated events with their place per document; unknown times come first. Months are the
-    chunks of the order, so a document with very many events is numbered in parallel."""
-    union = united(sources)
-    chunk = F.coalesce(F.date_trunc("MONTH", F.col("ts").cast("timestamp")), F.lit("0001-01-01").cast("timestamp"))
+    """Union of dated events with their place per document; unknown times come first. Chunks are ranges of document and time, so a
+    document with very many events, in one minute too, is numbered in parallel."""
     order = [F.col("ts").asc_nulls_first(), F.col("source"), F.col("detail")]
-    return ordered.row_numbers(union.withColumn(ordered.CHUNK, chunk), list(keys), order, "place").drop(ordered.CHUNK)
+    chunked = ordered.with_range_chunk(united(sources), list(keys), order)
+    return ordered.row_numbers(chunked, list(keys), order, "place").drop(ordered.CHUNK)
 
 
 def block_outliers(df: DataFrame, key: str, block: str, value: str) -> DataFrame:
@@ -141,26 +143,29 @@ GRID_TOLERANCE = 8
 GRID_MIN_POINTS = 6
 
 
-def regular_spacing(df: DataFrame, key: str, position: str, tie: str, points: int | None = None, chunk: float = 100.0) -> DataFrame:
+def regular_spacing(df: DataFrame, key: str, position: str, tie: str, points: int | None = None) -> DataFrame:
     """Even spacing of all points, or of the first `points`: gaps above 2, the upper median, at least half within ±8. Gaps are
-    taken inside chunks of the position and carried over their borders, so a key with very many points is read in parallel."""
+    taken inside chunks of key and position and carried over their borders, and the median is found by counting, so a key with
+    very many points is read in parallel."""
     n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_points")).filter(F.col("n_points") >= GRID_MIN_POINTS)
     used = df.select(key, F.col(position).cast("double").alias("_p"), tie)
     if points is not None:
         used = top_per_group(used, [key], [F.col("_p"), F.col(tie)], points, "_i").drop("_i")
-    chunked = used.withColumn(ordered.CHUNK, F.floor(F.col("_p") / chunk))
-    gaps = ordered.previous(chunked, [key], [F.col("_p"), F.col(tie)], "_p", "_before").select(
-        key, (F.col("_p") - F.col("_before")).alias("_gap")).filter("_gap > 2")
-    medians = gaps.groupBy(key).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _gap DESC)").alias("median"))
+    order = [F.col("_p"), F.col(tie)]
+    chunked = ordered.with_range_chunk(used, [key], order)
+    gaps = cut_lineage(ordered.previous(chunked, [key], order, "_p", "_before").select(
+        key, (F.col("_p") - F.col("_before")).alias("_gap")).filter("_gap > 2"))
+    medians = ordered.upper_median(gaps, key, "_gap")
     near = join_reduced(gaps, medians, key).groupBy(key).agg(
         F.max("median").alias("median"), F.avg((F.abs(F.col("_gap") - F.col("median")) <= GRID_TOLERANCE).cast("int")).alias("share"))
     return near.filter("median >= 2 AND share >= 0.5").join(n, key).select(key, "n_points", F.round("median", 1).alias("spacing"))
 
 
 def neighbour_noise(df: DataFrame, key: str, ts: str, tie: str, value: str) -> DataFrame:
-    """Spread of the differences between neighbours in time; days are the chunks of the order."""
-    chunked = ordered.with_day_chunk(df.select(key, ts, tie, value), ts)
-    pairs = ordered.previous(chunked, [key], [F.col(ts), F.col(tie)], value, "_before")
+    """Spread of the differences between neighbours in time; ranges of key and time are the chunks of the order."""
+    order = [F.col(ts), F.col(tie)]
+    chunked = ordered.with_range_chunk(df.select(key, ts, tie, value), [key], order)
+    pairs = ordered.previous(chunked, [key], order, value, "_before")
     return pairs.groupBy(key).agg(
         F.round(F.stddev_pop(F.col(value) - F.col("_before")), 6).alias("noise"), F.count("_before").alias("n_pairs"))
 

@@ -70,6 +70,16 @@ def time_proximity_pairs(spark, folder):
     return cmp.time_proximity_pairs(members, "ts")
 
 
+@query("time_proximity_groups", """WITH e AS (SELECT event_id, epoch_us(ts) AS us FROM events WHERE ts IS NOT NULL),
+c AS (SELECT *, count(*) OVER (ORDER BY us RANGE BETWEEN 299999999 PRECEDING AND 299999999 FOLLOWING) - 1 AS n_links,
+ CASE WHEN us - lag(us) OVER (ORDER BY us) < 300000000 THEN 0 ELSE 1 END AS s FROM e),
+g AS (SELECT *, sum(s) OVER (ORDER BY us, s DESC ROWS UNBOUNDED PRECEDING) AS g FROM c)
+SELECT event_id, us AS ts_us, min(event_id) OVER (PARTITION BY g) AS class_id, CAST(n_links AS BIGINT) AS n_links FROM g""")
+def time_proximity_groups(spark, folder):
+    """Every event with the number of others less than five minutes apart, and the class that chains of them form."""
+    return cmp.time_proximity_groups(table(spark, folder, "events"), "ts", "event_id")
+
+
 TOOL_CASE = """CASE WHEN {c} LIKE 'Microsoft%' THEN 'Microsoft Word' WHEN {c} LIKE 'Acrobat%' THEN 'Adobe Acrobat Distiller'
  WHEN {c} LIKE 'GPL%' THEN 'Ghostscript' WHEN {c} LIKE 'Libre%' THEN 'LibreOffice' WHEN {c} LIKE 'pdfTeX%' THEN 'pdfTeX (LaTeX)'
  WHEN {c} LIKE 'iText%' THEN 'iText (Java)' WHEN {c} LIKE 'Small%' THEN 'Smallpdf (Online)'
