@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -82,6 +83,25 @@ def test_base_spans_are_the_patterns(spark):
     assert all([r.n_email, r.n_ip, r.n_card, r.n_phone] == [r.spans.count(f"{k}:") for k, _ in BASE] for r in got)
 
 
+def test_many_spans_in_one_text_take_linear_time():
+    part = "call 555-123-4567 or +1 202 555 0143 from 10.0.0.1, a@b.co; "
+    text = part * 16_000  # about 1 MB, a base span and a local phone every few words
+    accepted = {personal_data.cell(text, *c) for c in personal_data.candidates(text)}
+    start = time.time()
+    base, every = personal_data.spans(text, accepted)
+    assert time.time() - start < 30 and len(base) == 48_000 and len(every) == 64_000
+
+
+def test_covered_spans_are_brute_force():
+    rnd = random.Random(2)
+    for _ in range(200):
+        held = [(a, a + rnd.randint(1, 9)) for a in (rnd.randint(0, 60) for _ in range(rnd.randint(0, 8)))]
+        covered = personal_data._Covered(held)
+        for a in range(70):
+            b = a + rnd.randint(1, 5)
+            assert covered.meets(a, b) == any(x < b and a < y for x, y in held)
+
+
 def test_reliabilities_follow_the_better_labelers():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.4
@@ -170,3 +190,20 @@ def test_small_payloads_are_not_revisits(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     got = warc.revisits(warc.with_digest(pages), min_bytes=3).collect()
     assert [(r.page_id, r.refers_to) for r in got] == [(4, 3)]
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    rnd = random.Random(8)
+    sizes = [rnd.choice((3, 200, 900)) for _ in range(300)] + [5000 + i for i in range(20)] + [60_000, 300_000, 1_000_000]
+    rows = [(i, f"http://h/{i}", chr(97 + i % 26) * n) for i, n in enumerate(rnd.sample(sizes, len(sizes)))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = str(tmp_path / "w")
+    warc.write_archives(pages, folder, record_bytes=2_000, file_bytes=40_000)
+    files = [list(warc.parse(p.read_bytes())) for p in (tmp_path / "w").glob("*.gz")]
+    assert all(sum(len(block) for _, block in f) <= 40_000 or len(f) == 1 for f in files)
+    assert sorted(h["WARC-Record-ID"] for f in files for h, _ in f) == sorted(f"<urn:page:{i}>" for i, _, _ in rows)
+    whole = str(tmp_path / "one")
+    warc.write_archives(pages, whole)
+    assert sorted(map(str, warc.read_archives(spark, folder).collect())) == sorted(map(str, warc.read_archives(spark, whole).collect()))
+    edges = warc.size_classes(2_000, 40_000)
+    assert [low for low, _, _ in edges][1:] == [top for _, top, _ in edges][:-1] and edges[-1] == (40_000, None, 1)

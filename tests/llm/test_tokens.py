@@ -1,3 +1,5 @@
+import random
+import time
 import zlib
 
 import numpy as np
@@ -40,6 +42,18 @@ def test_state_maps_across_many_chunks(machine):
         len(e.ids) for e in library.encode_batch([text, text[1:]], add_special_tokens=False)]
 
 
+def test_long_words_are_the_library_and_linear(machine):
+    counter, classes, special, library = machine
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(3000)), "ab" * 2000, "é日🙂" * 700, "-" * 5000, "0" * 4097]
+    assert token_counts.TextCounter(counter, classes, special).counts(words).tolist() == [
+        len(e.ids) for e in library.encode_batch(words, add_special_tokens=False)]
+    start = time.time()
+    for long in ("".join(rnd.choice("etaoinshrdlu") for _ in range(1 << 20)), "=" * (1 << 20)):
+        counter.count_long(long.encode())
+    assert time.time() - start < 60
+
+
 def test_every_token_is_its_own_encoding(machine):
     counter = machine[0]
     pairs = np.arange(256, len(counter.left))

@@ -5,15 +5,18 @@ Two deterministic machines are compiled from the tokenizer's file:
 * the splitter reads character classes (with one or two characters of lookahead folded into the symbol) and says before which
   character a pretoken begins. Chunks of CHUNK characters are run from all states at once; the resulting state maps are composed by a
   parallel prefix scan, which gives the true state at each chunk's start;
-* the counter reads the bytes of a pretoken. Its state is the last token of the encoding so far, with those at earlier bytes;
-  each transition emits a change of the token count. All new pretokens of a batch are read in step.
+* the counter reads the bytes of a pretoken along the trie of the vocabulary and keeps, for each byte, the last token of the encoding
+  up to there and its count. Which token may follow depends on the one before it, so the counts are a dynamic program and no emission
+  of single transitions; chunk maps are scanned for the splitter only. Short pretokens of a batch are read in step, long ones
+  one by one; both take time linear in the bytes.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from array import array
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -21,6 +24,7 @@ from vestigia.llm.pieces import double_array
 
 CHUNK = 64
 SHORT = 48
+NEIGHBOURS = 500_000  # remembered pairs of tokens of one long pretoken
 # Character classes and input symbols of the splitter.
 LETTER, NUMBER, OTHER, BLANK = 0, 1, 2, 3
 SHORT_SUFFIX, LONG_SUFFIX, LAST_SPACE, LAST_BLANK, INNER_BLANK, END = 3, 4, 5, 6, 7, 8
@@ -264,24 +268,47 @@ class Counter:
             last[row, i], count[row, i] = token, count[row, start] + 1
         return count[np.arange(n), sizes]
 
+    def _beside(self, a: int, b: int) -> bool:
+        """`_adjacent` for one pair."""
+        limit = 1 << 40
+        while self.rank.get(a << 32 | b, limit) >= limit:
+            if a <= 255 and b <= 255:
+                return True
+            if a > b:
+                limit, a = a, self.right.item(a)
+            else:
+                limit, b = b + 1, self.left.item(b)
+        return False
+
+    @cached_property
+    def rank(self) -> dict[int, int]:
+        return dict(zip(self.pairs.tolist(), self.merged.tolist()))
+
     def count_long(self, word: bytes) -> int:
-        """The same for one long pretoken, in time linear in its length."""
-        base, check, value = self.trie
-        n = len(word)
-        last, count = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-        starts = np.zeros(0, np.int64)
-        nodes = np.zeros(0, np.int64)
-        for i in range(1, n + 1):
-            starts, nodes = np.append(starts, i - 1), np.append(nodes, 0)
-            t = base[nodes] + word[i - 1] + 1
-            ok = check[t] == nodes
-            starts, nodes = starts[ok], t[ok].astype(np.int64)
-            token = value[nodes].astype(np.int64)
-            hit = token >= 0
-            s, token = starts[hit], token[hit]
-            fits = (s == 0) | self._adjacent(last[s], token)
-            last[i], count[i] = token[fits][0], count[s[fits][0]] + 1
-        return int(count[n])
+        """The same for one long pretoken: every byte's tokens are followed once, and whether two tokens may be neighbours is
+        remembered."""
+        base, check, value = map(memoryview, self.trie)
+        n, size = len(word), len(check)
+        last, count = array("i", [-1]) * (n + 1), array("q", [0]) * (n + 1)
+        beside: dict[int, bool] = {}
+        for start in range(n):
+            before, at, node = last[start], start, 0
+            while at < n:
+                to = base[node] + word[at] + 1
+                if to >= size or check[to] != node:
+                    break
+                node, at = to, at + 1
+                token = value[node]
+                if token >= 0 and last[at] < 0:
+                    pair = before << 32 | token
+                    fits = start == 0 or beside.get(pair)
+                    if fits is None:
+                        if len(beside) > NEIGHBOURS:
+                            beside.clear()
+                        fits = beside[pair] = self._beside(before, token)
+                    if fits:
+                        last[at], count[at] = token, count[start] + 1
+        return count[n]
 
 
 def _byte_characters() -> dict[str, int]:

@@ -16,8 +16,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +77,19 @@ def _small(part: str) -> bool:
     return len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or "0") <= 255
 
 
+class _Covered:
+    """Spans, searched for one that meets another span by bisection."""
+
+    def __init__(self, found: Iterable[tuple[int, int]]):
+        ordered = sorted(found)
+        self.starts = [a for a, _ in ordered]
+        self.ends = list(accumulate((b for _, b in ordered), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.ends[before - 1] > start
+
+
 def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     """`(kind, start, end, valid)`: all base matches, and further spans that may be personal data."""
     found: list[tuple[int, int, int, bool]] = []
@@ -95,9 +110,8 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
                 digits = sum(c.isdigit() for c in m[0])
                 if digits <= 15:
                     found.append((3, *m.span(), digits >= 8))
-        strict = [(a, b) for k, a, b, ok in found if ok]
-        found += [(3, a, b, False) for a, b in (m.span() for m in _LOCAL_PHONE.finditer(text))
-                  if not any(x < b and a < y for x, y in strict)]
+        strict = _Covered((a, b) for _, a, b, ok in found if ok)
+        found += [(3, *m.span(), False) for m in _LOCAL_PHONE.finditer(text) if not strict.meets(*m.span())]
     if ("=" in text or ":" in text) and any(w in text for w in _SECRET_WORDS):
         found += [(4, *m.span(1), False) for m in _SECRET.finditer(text)]
     return found
@@ -208,8 +222,8 @@ def spans(text: str, accepted: set[tuple[int, ...]]) -> tuple[list[tuple[int, in
     found = candidates(text)
     base = sorted((k, a, b) for k, a, b, valid in found if valid)
     more = [(k, a, b) for k, a, b, valid in found if not valid and cell(text, k, a, b, False) in accepted]
-    taken = {k: [(a, b) for kk, a, b in base if kk == k] for k in range(len(KINDS))} if more else {}
-    return base, sorted({*base, *((k, a, b) for k, a, b in more if not any(x < b and a < y for x, y in taken[k]))})
+    taken = {k: _Covered((a, b) for kk, a, b in base if kk == k) for k in {k for k, _, _ in more}}
+    return base, sorted({*base, *((k, a, b) for k, a, b in more if not taken[k].meets(a, b))})
 
 
 def _written(found: list[tuple[int, int, int]]) -> str:

@@ -4,7 +4,7 @@ Only headers (page, digest, size) are shuffled by digest; the payload is never g
 share one. The first page of each digest with copies is stored, and joining it to the headers has plain tables on both
 sides, which lets Spark split a digest that holds a large part of all pages. Payloads then meet their verdict by page. Archives are
 written by Spark's text writer (a record ends with the blank lines that the writer puts after each row), gzip-compressed, at most
-FILE_RECORDS records a file, and read file by file, unpacked as a stream.
+FILE_BYTES of records a file, a larger record in a file of its own, and read file by file, unpacked as a stream.
 
 Rows: a null payload counts as empty; a null url is written as an empty target; line breaks in a url become spaces. A null page
 id is written without an id, takes part in no revisit, and comes back as null. Rows that repeat a page id with the same payload are all
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from vestigia.llm.common import new_folder, stored, table
 
-FILE_RECORDS = 4_000
+FILE_BYTES = 64 << 20
+RECORD_BYTES = 16 << 10  # the smallest class of records; each class above is 16 times larger
+HEAD_BYTES = 1_000
 MIN_BYTES = 0  # smaller payloads are always responses
 DATE = "2025-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -79,12 +81,32 @@ def records(pages: DataFrame, decided: DataFrame) -> DataFrame:
     return joined.select(F.concat(F.when(again, revisit).otherwise(response), block).alias("value"))
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> None:
-    """Writes `pages(page_id, url, html)` as deduplicated archives."""
-    read = with_digest(pages)
-    decided = stored(revisits(read.drop("payload"), min_bytes), "revisits")
-    records(read, decided).write.option("lineSep", _END).option("maxRecordsPerFile", FILE_RECORDS).option(
-        "compression", "gzip").text(folder)
+def size_classes(record_bytes: int = RECORD_BYTES, file_bytes: int = FILE_BYTES) -> list[tuple[int, int | None, int]]:
+    """`(from, below, records a file)`: a file of records below s bytes holds at most file_bytes / s of them, a record of file_bytes
+    or more has a file of its own."""
+    steps = [0]
+    size = record_bytes
+    while size < file_bytes:
+        steps.append(size)
+        size *= 16
+    return [(low, top, max(1, file_bytes // (top or file_bytes))) for low, top in zip(steps, [*steps[1:], file_bytes])] + [(file_bytes, None, 1)]
+
+
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, record_bytes: int = RECORD_BYTES,
+                   file_bytes: int = FILE_BYTES) -> None:
+    """Writes `pages(page_id, url, html)` as deduplicated archives, one size class of records after the other; classes without
+    pages are left out. Sizes are those of payload and url with HEAD_BYTES for the header."""
+    read = with_digest(pages).withColumn("_size", F.col("bytes") + 2 * F.octet_length("url") + HEAD_BYTES)
+    headers = stored(read.drop("payload"), "headers")
+    decided = stored(revisits(headers, min_bytes), "revisits")
+    classes = size_classes(record_bytes, file_bytes)
+    within = lambda low, top: (F.col("_size") >= low) & (F.col("_size") < top if top else F.lit(True))
+    counts = headers.agg(*[F.count_if(within(low, top)).alias(f"c{k}") for k, (low, top, _) in enumerate(classes)]).first()
+    for k, (low, top, per_file) in enumerate(classes):
+        if counts[k] or not any(counts) and k == 0:
+            part = read.filter(within(low, top)).drop("_size")
+            records(part, decided).write.mode("append").option("lineSep", _END).option("maxRecordsPerFile", per_file).option(
+                "compression", "gzip").text(folder)
 
 
 def parse(compressed: bytes, step: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
