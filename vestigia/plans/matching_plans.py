@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vestigia.operators import matching as mt
+from vestigia.operators import overlap
 from vestigia.operators.common import emit, join_reduced, joined
 from vestigia.plans import bindings as b
 from vestigia.plans.bindings import META, OBJ
@@ -30,6 +31,15 @@ def prefix_cross_match(spark, folder):
                         F.date_format("created", "yyyy-MM-dd").alias("created"))
 
 
+@query("prefix_cross_matches", f"""WITH {OBJ}, d AS (SELECT DISTINCT doc_id, device FROM obj),
+m AS (SELECT p.doc_id AS probe_id, d.doc_id, count(*) AS n_shared FROM d p JOIN d USING (device) WHERE p.doc_id % 100 = 0 AND d.doc_id <> p.doc_id GROUP BY ALL)
+SELECT probe_id, count(*) AS n_matches, max(n_shared) AS most_shared FROM m GROUP BY 1""")
+def prefix_cross_matches(spark, folder):
+    """For each document whose id is divisible by 100: all documents that share a device with it, counted, and the closest of them."""
+    items = b.objects(spark, folder).select("doc_id", F.col("device").alias("value"))
+    return overlap.match_counts(*overlap.shared_values(items, F.col("doc_id") % 100 == 0))
+
+
 SIGNED = "list_transform(embedding[1:3], lambda x: CAST(floor(x * 4) AS INT))"
 
 
